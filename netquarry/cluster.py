@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,3 +24,12 @@ def ship(spark: SparkSession) -> None:
             out.write(path, path.relative_to(top.parent))
     context.addPyFile(str(target))
     _shipped.add(context.applicationId)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all executors share (``spark.checkpoint.dir``; a temporary one where that is unset)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        root = f"file://{tempfile.mkdtemp(prefix='netquarry-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
