@@ -53,7 +53,7 @@ def magnitude(column: Column, bits: int) -> Column:
     return F.coalesce(F.least(step, F.lit(top)), F.lit(0)).cast("int")
 
 
-def shards(docs: DataFrame, n: int = 24, dimensions: tuple[str, ...] = ("lang", "source"), bits: int = 5, bucket_rows: int = 50_000) -> DataFrame:
+def shards(docs: DataFrame, n: int = 24, dimensions: tuple[str, ...] = ("lang", "source"), bits: int = 5, bucket_rows: int = 2048) -> DataFrame:
     """doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null) and curve of every document.
 
     The dimensions' codes and the text's size name a cell; documents lie in the order of their cells on the
@@ -61,7 +61,7 @@ def shards(docs: DataFrame, n: int = 24, dimensions: tuple[str, ...] = ("lang",
     values of every dimension, and a reader with a filter on any of them skips most shards.
 
     The global order needs no single sort: there are at most 2^(bits x dimensions) cells, whose counts are summed
-    and added up in order; a cell with more than ``bucket_rows`` rows is split by a hash into buckets, ranked one by one.
+    and added up in order; a cell with more than ``bucket_rows`` rows (or a millionth of all) is split by a hash into buckets, ranked one by one.
 
     ``docs`` needs doc_id and text; of ``dimensions`` those that are missing count as null, and other columns are
     ignored. A null text has size 8 and the crc32 of an empty one. Repeated rows and null ids get places of
@@ -77,11 +77,11 @@ def shards(docs: DataFrame, n: int = 24, dimensions: tuple[str, ...] = ("lang",
     placed = saved(placed, "curve")
     cells = placed.groupBy("curve").count()
     order = Window.partitionBy(F.lit(0)).orderBy("curve")
-    cells = cells.select(
+    cells = cells.withColumn("total", F.sum("count").over(Window.partitionBy(F.lit(0)))).select(
         "curve",
-        F.ceil(F.col("count") / bucket_rows).cast("long").alias("buckets"),
+        F.ceil(F.col("count") / F.greatest(F.lit(bucket_rows), F.col("total") / 1_000_000)).cast("long").alias("buckets"),
         (F.sum("count").over(order) - F.col("count")).alias("before"),
-        F.sum("count").over(Window.partitionBy(F.lit(0))).alias("total"),
+        "total",
     )
     rows = placed.join(F.broadcast(cells), "curve").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row"), F.col("buckets")))
     counts = rows.groupBy("curve", "bucket").count()
