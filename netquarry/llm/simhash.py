@@ -190,7 +190,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
 
 
-def links(distinct: DataFrame, n: int, radius: int = 2, shard_rows: int = 16384, sample_rows: int = 1 << 20) -> DataFrame:
+def links(distinct: DataFrame, n: int, radius: int = 2, shard_rows: int = 4096, sample_rows: int = 1 << 20) -> DataFrame:
     """(a, b) edges that connect exactly the fingerprints which a chain of links of at most ``radius`` bits
     connects. ``distinct`` has ``n`` different values of fp.
 
@@ -209,12 +209,12 @@ def links(distinct: DataFrame, n: int, radius: int = 2, shard_rows: int = 16384,
     return routed.groupBy("shard").applyInArrow(_shard_edges(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, shard_rows: int = 16384) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, shard_rows: int = 4096) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for every row of ``docs``.
 
     Fingerprints that differ in at most ``radius`` bits are linked; component_id is the smallest doc_id that a
     document reaches over links, its own included. All links count: copies are joined through their common
-    fingerprint, different fingerprints by an exact search.
+    fingerprint, different fingerprints by an exact search in shards of about ``shard_rows``, or a 4096th of all.
 
     ``docs`` needs doc_id and text; other columns are ignored whatever their names. A null, empty or blank text
     has fingerprint zero and is linked like any other. Repeated rows return each. A null doc_id keeps its row; it
@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, shard_ro
     marked = saved(fingerprints(docs, shingle), "fingerprints")
     groups = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "groups")
     n = groups.count()
-    roots = components(links(groups, n, radius, shard_rows)) if n > 1 else None
+    roots = components(links(groups, n, radius, max(shard_rows, n // 4096))) if n > 1 else None
     if roots is None:
         labels = groups.select("fp", F.col("first").alias("component_id"))
     else:
