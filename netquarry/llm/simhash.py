@@ -237,10 +237,17 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, shard_ro
 
 
 def keep_first(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id is its component's; one row for repeated ids, and
-    none for null ids unless nothing else is in their component, then one."""
-    found = saved(near_duplicates(docs, radius, shingle), "components")
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).groupBy("kept_id").count()
+    """The rows of ``docs``, all columns, whose doc_id is its component's, one row for each id.
+
+    A document without an id has one made of its text's hash, over 2^62, so that real ids go before it. Ids that grow with
+    the corpus are never broadcast: the join shuffles by id at every size.
+    """
+    made = F.pmod(F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))), F.lit(1 << 61)) + F.lit(1 << 62)
+    own = F.coalesce(docs["doc_id"].cast("long"), made)
+    found = saved(near_duplicates(docs.select(own.alias("doc_id"), docs["text"]), radius, shingle), "components")
+    keep = found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("kept_id")).count()
     keep = saved(keep, "kept")
-    rows = docs.join(keep.select("kept_id"), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows if keep.where("count > 1").isEmpty() else rows.dropDuplicates(["doc_id"])
+    rows = docs.join(keep.select("kept_id").hint("merge"), own == F.col("kept_id"), "left_semi")
+    if keep.where("count > 1").isEmpty():
+        return rows
+    return rows.withColumn("kept_once", own).dropDuplicates(["kept_once"]).drop("kept_once")
