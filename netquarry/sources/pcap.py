@@ -12,7 +12,7 @@ import struct
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "ts_us bigint, raw binary"
 #: Magic numbers of the format, with byte order and fractions of a second.
@@ -61,22 +61,23 @@ class PcapReader(DataSourceReader):
         yield from read_file(partition.value, self.limit) if partition.value else ()
 
 
-class PcapStream(SimpleDataSourceStreamReader):
-    """New files of a folder, some for each micro-batch (option filesPerTrigger)."""
+class PcapStream(DataSourceStreamReader):
+    """New files of a folder, whose names follow their order in time; executors read them, a file to a task."""
 
     def __init__(self, options: dict):
-        self.path, self.limit = options["path"], int(options["limit"]) if "limit" in options else None
-        self.step = int(options.get("filesPerTrigger", 1))
+        self.reader = PcapReader(options)
 
     def initialOffset(self) -> dict:
-        return {"done": 0}
+        return {"files": 0}
+
+    def latestOffset(self) -> dict:
+        return {"files": len(files(self.reader.path))}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        end = min(start["done"] + self.step, len(files(self.path)))
-        return self.readBetweenOffsets(start, {"done": end}), {"done": end}
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [InputPartition(p) for p in files(self.reader.path)[start["files"] : end["files"]]]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return (row for p in files(self.path)[start["done"] : end["done"]] for row in read_file(p, self.limit))
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        return self.reader.read(partition)
 
 
 class PcapSource(DataSource):
@@ -90,7 +91,7 @@ class PcapSource(DataSource):
     def reader(self, schema) -> PcapReader:
         return PcapReader(self.options)
 
-    def simpleStreamReader(self, schema) -> PcapStream:
+    def streamReader(self, schema) -> PcapStream:
         return PcapStream(self.options)
 
 
