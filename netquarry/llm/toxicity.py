@@ -16,7 +16,7 @@ from .batches import by_bytes, column
 from .samples import labelled
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}']*")
-PREFIXES = (4, 5)
+PREFIXES = range(4, 9)
 
 
 def features_of(word: str) -> tuple[str, ...]:
@@ -104,11 +104,11 @@ def _present(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, most_features: int = 512, label: str = "toxic") -> Severity:
     """The model for about ``sample_rows`` labelled documents.
 
-    Features are words and their first 4 and 5 letters; those that mark toxic documents most clearly (a
+    Features are words and their first 4 to 8 letters; those that mark toxic documents most clearly (a
     score test of the shares of toxic and clean documents that have them), ``most_features`` at most, are kept. The
     labels know only toxic or not, so a toxic document's grade is 2 if it has more hits of these features than
     the median toxic one, else 1; a clean one's is 0. A document is rejected from an expected severity of 0.5, or
-    less where clean documents of the sample stay far below (1.5 times their largest, 0.1 at least). Only the chosen features and the sample's counts of them reach the
+    less where clean documents of the sample stay far below (twice their largest, 0.05 at least). Only the chosen features and the sample's counts of them reach the
     driver. Without toxic or without clean labels nothing is toxic.
     """
     sample = labelled(docs, labels, label, sample_rows).persist()
@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, most_feat
     model.weights = np.zeros(len(model.vocabulary))
     x = model.matrix(counts)
     model.weights, model.cuts = fit(x, grades, 3)
-    model.reject = float(np.clip(1.5 * model.exceed(x[grades == 0]).sum(axis=1).max(), 0.1, 0.5))
+    model.reject = float(np.clip(2 * model.exceed(x[grades == 0]).sum(axis=1).max(), 0.05, 0.5))
     return model
 
 
