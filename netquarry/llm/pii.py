@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import saved
+from .store import free, saved
 
 #: Titles, by the gender that they tell.
 MALE = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Господин")
@@ -253,18 +253,20 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
     each = listed.select("of", F.explode("e").alias("e")).select("of", "e.kind", "e.canon")
     odd = saved(collisions(each, key), "collisions")
     own = docs.drop("pii_mentions")
-    nothing = F.lit(None).cast("map<string,int>")
+    attempts, of = free(own, "pii_attempts"), free(own, "pii_of")
     if odd.isEmpty():
-        looked = own.withColumn("pii_attempts", nothing)
+        looked = own.withColumn(attempts, F.lit(None).cast("map<string,int>"))
     else:
         pair = F.struct(F.concat_ws(" ", "kind", "canon").alias("entity"), "attempt")
-        maps = saved(each.distinct().join(odd, ["kind", "canon"]).groupBy("of").agg(F.map_from_entries(F.collect_list(pair)).alias("pii_attempts")), "attempts")
-        looked = own.withColumn("pii_of", F.when(text.rlike(HINT), F.sha2(text, 256))).join(maps, F.col("pii_of") == F.col("of"), "left").drop("pii_of", "of")
+        maps = each.distinct().join(odd, ["kind", "canon"]).groupBy("of").agg(F.map_from_entries(F.collect_list(pair)).alias(attempts))
+        maps = saved(maps.withColumnRenamed("of", free(own, "pii_key")), "attempts")
+        looked = own.withColumn(of, F.when(text.rlike(HINT), F.sha2(text, 256)))
+        looked = looked.join(maps, F.col(of) == F.col(maps.columns[0]), "left").drop(of, maps.columns[0])
     # a mark on both sides of each mention; those that the text has itself are set aside
     held = F.translate(text, "\u0001", "") if False else text
     found = mentions(held)
     parts = F.split(F.regexp_replace(F.replace(held, F.lit("\u0001"), F.lit("\u0001\u0002\u0001")), MENTION, "\u0001$0\u0001"), "\u0001")
-    put = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 0, p).when(p == "\u0002", F.lit("\u0001")).otherwise(rendered(key, p, F.col("pii_attempts")))), "")
+    put = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 0, p).when(p == "\u0002", F.lit("\u0001")).otherwise(rendered(key, p, F.col(attempts)))), "")
     new = F.when(text.rlike(HINT) & (F.size(found) > 0), put).otherwise(text)
     kept = [F.col(f"`{c}`") if c != "text" else new.alias("text") for c in own.columns]
     return looked.select(*kept, F.coalesce(F.size(found), F.lit(0)).alias("pii_mentions"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .batches import by_bytes, column
 from .components import components, local_roots
-from .store import saved
+from .store import free, saved
 
 LEAF = 64
 
@@ -244,10 +244,11 @@ def keep_first(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     """
     made = F.pmod(F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))), F.lit(1 << 61)) + F.lit(1 << 62)
     own = F.coalesce(docs["doc_id"].cast("long"), made)
+    kept, once = free(docs, "kept_id"), free(docs, "kept_once")
     found = saved(near_duplicates(docs.select(own.alias("doc_id"), docs["text"]), radius, shingle), "components")
-    keep = found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("kept_id")).count()
+    keep = found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias(kept)).count()
     keep = saved(keep, "kept")
-    rows = docs.join(keep.select("kept_id").hint("merge"), own == F.col("kept_id"), "left_semi")
+    rows = docs.join(keep.select(kept).hint("merge"), own == F.col(kept), "left_semi")
     if keep.where("count > 1").isEmpty():
         return rows
-    return rows.withColumn("kept_once", own).dropDuplicates(["kept_once"]).drop("kept_once")
+    return rows.withColumn(once, own).dropDuplicates([once]).drop(once)

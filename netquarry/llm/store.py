@@ -30,6 +30,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or the first longer form of it that is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def forget(spark: SparkSession) -> None:
     """Deletes this application's tables. Call it when no DataFrame that reads them is in use."""
     jvm = spark.sparkContext._jvm

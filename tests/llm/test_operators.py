@@ -237,6 +237,7 @@ def test_pii_surrogates(spark, no_docs):
     out = pii.replaced(df, "k1")
     assert out.columns == ["doc_id", "text", "pii_attempts", "pii_mentions"]
     got = [(r.doc_id, r.text, r.pii_mentions) for r in out.collect()]
+    assert {r.pii_attempts for r in out.collect()} == {"own"}
     by = {i: t for i, t, _ in got}
     words = by[1].split()
     assert words[1].lower().rstrip(",") == words[3].rstrip(",") != "bob.smith@example.com" and words[1][0].isupper()
@@ -259,7 +260,7 @@ def test_pii_surrogates(spark, no_docs):
 def test_pii_collisions_are_resolved(spark):
     """Names have few surrogates of one kind here, so many collide; all stay distinct and no real one is reused."""
     names = [f"Mr. Ab{a}{b}{c}" for a in "aeiou" for b in "bcdfglmn" for c in ("ra", "so", "ti")]
-    df = spark.createDataFrame([(i, f"So {n} came") for i, n in enumerate(names)], "doc_id long, text string")
+    df = spark.createDataFrame([(i, f"So {n} came", i, "o") for i, n in enumerate(names)], "doc_id long, text string, pii_of long, of string")
     entity = df.select(F.explode(pii.mentions(F.col("text"))).alias("m")).select(F.explode(pii.entities(F.col("m"))).alias("e")).select("e.*")
     squeezed = pii.PARTS["latin"]
     try:
