@@ -58,10 +58,8 @@ class IsolationForest:
         new.seen = x.count()
         if not new.seen:
             return new
-        pool = self.sample * 16
-        share = min(1.0, 2.0 * pool / new.seen)
-        chosen = x.sample(False, share, self.seed) if share < 1 else x
-        data = np.array([tuple(r) for r in chosen.limit(pool).collect()], dtype=float).reshape(-1, len(columns))
+        chosen = x.orderBy(F.rand(self.seed)).limit(16 * self.sample).collect()
+        data = np.array([tuple(r) for r in chosen], dtype=float).reshape(-1, len(columns))
         data = data[np.lexsort(data.T)]
         new.size = min(self.sample, len(data))
         spark, k, seed, size = rows.sparkSession, len(columns), self.seed, new.size

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.network import is_forward, ratio
@@ -32,40 +34,55 @@ def canonical(packets: DataFrame) -> DataFrame:
     )
 
 
-def _step(state: Column, packet: Column, limits: Limits) -> Column:
-    """One transition: a confirmed flow goes on until a timeout, a provisional run until its time to live; otherwise
-    a new segment begins. Adds the packet's own label to those before it."""
-    t, first, n = packet["us"], state["first"], state["n"]
-    stays = state["confirmed"] & (t - state["last"] <= limits.inactive_us) & (t - first <= limits.active_us)
-    grows = ~state["confirmed"] & (n > 0) & (t - first <= limits.ttl_us)
-    goes_on = stays | grows
-    new_n = F.when(goes_on, n + 1).otherwise(1)
-    now = F.when(stays, True).otherwise(new_n >= limits.threshold)
-    seg = F.when(goes_on, state["seg"]).otherwise(state["seg"] + 1)
-    began = F.when(goes_on, first).otherwise(t)
-    label = F.struct(packet["event_id"].alias("event_id"), seg.alias("seg"), now.alias("confirmed"), began.alias("first"), new_n.alias("n"))
-    return F.struct(
-        now.alias("confirmed"), began.alias("first"), F.greatest(F.when(goes_on, state["last"]).otherwise(t), t).alias("last"), new_n.alias("n"), seg.alias("seg"), F.concat(state["labels"], F.array(label)).alias("labels")
-    )
+FOLDED = "a_ip string, a_port int, b_ip string, b_port int, protocol string, event_id long, us long, packet_size int, syn boolean, is_forward boolean, seg int, confirmed boolean, first long, n int, gap_us long"
+_CARRIED = [*KEY, "event_id", "us", "packet_size", "syn", "is_forward"]
+
+
+def _fold(limits: Limits):
+    """Labels packets that come sorted by (key, us, event_id), holding one flow's state at a time.
+
+    A confirmed flow goes on until a timeout, a provisional run until its time to live; otherwise a new segment begins. A gap is the
+    time since the last confirmed packet of the segment.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, confirmed, first, last, n, seg = None, False, 0, 0, 0, 0
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(len(KEY))]
+            out: list[tuple] = []
+            for at, t in zip(zip(*columns, strict=True), batch.column(len(KEY) + 1).to_pylist(), strict=True):
+                if at != key:
+                    key, confirmed, n, seg = at, False, 0, 0
+                gap = None
+                if confirmed and t - last <= limits.inactive_us and t - first <= limits.active_us:
+                    n, gap = n + 1, t - last
+                elif not confirmed and n and t - first <= limits.ttl_us:
+                    n += 1
+                    confirmed = n >= limits.threshold
+                else:
+                    seg, first, n = seg + 1, t, 1
+                    confirmed = limits.threshold <= 1
+                last = t
+                out.append((seg, confirmed, first, n, gap))
+            made = zip(*out, strict=True) if out else [[]] * 5
+            kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(made, kinds, strict=True))], names=[c.split()[0] for c in FOLDED.split(", ")])
+
+    return run
 
 
 def promotion(packets: DataFrame, limits: Limits) -> DataFrame:
-    """Key, event_id, seg, confirmed, first, n of every packet.
+    """Canonical packets with seg, confirmed, first, n and gap_us.
 
-    The rule is sequential, so each key's packets are folded in order of (us, event_id) by one expression.
-    A key holds one 5-tuple's packets; nothing larger is gathered.
+    The rule is sequential, which no window function expresses. One shuffle by key and an external sort bring each flow's packets
+    in order; they are folded as they stream by, so a flow of any length takes constant memory.
     """
-    kind = "array<struct<event_id:bigint,seg:int,confirmed:boolean,first:bigint,n:int>>"
-    start = F.struct(F.lit(False).alias("confirmed"), F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last"), F.lit(0).alias("n"), F.lit(0).alias("seg"), F.array().cast(kind).alias("labels"))
-    trace = F.array_sort(F.collect_list(F.struct("us", "event_id")))
-    folded = packets.groupBy(*KEY).agg(F.aggregate(trace, start, lambda s, p: _step(s, p, limits), lambda s: s["labels"]).alias("labels"))
-    return folded.select(*KEY, F.explode("labels").alias("l")).select(*KEY, "l.*")
+    dealt = packets.select(F.col("a_ip"), F.col("a_port").cast("int"), "b_ip", F.col("b_port").cast("int"), "protocol", *_CARRIED[len(KEY) :])
+    return dealt.repartition(*KEY).sortWithinPartitions(*KEY, "us", "event_id").mapInArrow(_fold(limits), FOLDED)
 
 
 def labelled(packets: DataFrame, limits: Limits) -> DataFrame:
-    """Canonical packets with their segment and phase."""
-    keyed = canonical(packets)
-    return keyed.join(promotion(keyed, limits), [*KEY, "event_id"])
+    return promotion(canonical(packets), limits)
 
 
 def vectors(packets: DataFrame, limits: Limits) -> DataFrame:
@@ -74,16 +91,13 @@ def vectors(packets: DataFrame, limits: Limits) -> DataFrame:
     Packets before the promoting one count only as pre_promotion; gaps begin at the promoting packet.
     """
     sure = labelled(packets, limits).where("confirmed")
-    order = Window.partitionBy(*KEY, "seg").orderBy("us", "event_id")
-    sure = sure.withColumn("gap", F.col("us") - F.lag("us").over(order))
     way = lambda forward, what: F.sum(F.when(F.col("is_forward") == forward, what).otherwise(0))
-    one = F.lit(1)
-    size = F.col("packet_size")
+    one, size, gap = F.lit(1), F.col("packet_size"), F.col("gap_us")
     sums = sure.groupBy(*KEY, "seg").agg(
         F.count("*").alias("packet_count"), F.sum(size).alias("byte_count"), F.sum(F.col("syn").cast("long")).alias("syn_count"), (F.min("n") - 1).cast("long").alias("pre_promotion_packet_count"),
         F.min("first").alias("first_us"), F.max("us").alias("last_us"),
         way(True, one).alias("fwd_packet_count"), way(True, size).alias("fwd_byte_count"), way(False, one).alias("bwd_packet_count"), way(False, size).alias("bwd_byte_count"),
-        F.count("gap").alias("iat_n"), F.coalesce(F.avg("gap") / 1e6, F.lit(0.0)).alias("iat_mean"), F.coalesce(F.when(F.count("gap") > 1, F.var_pop(F.col("gap") / 1e6)), F.lit(0.0)).alias("iat_variance"),
+        F.count(gap).alias("iat_n"), F.coalesce(F.avg(gap) / 1e6, F.lit(0.0)).alias("iat_mean"), F.coalesce(F.when(F.count(gap) > 1, F.var_pop(gap / 1e6)), F.lit(0.0)).alias("iat_variance"),
     )
     deviation = F.sqrt("iat_variance")
     return sums.withColumns(

@@ -464,20 +464,24 @@ flow AS (SELECT {KEY_SQL}, seg, packet_count, byte_count, syn_count, pre_promoti
 
 @query(f"{FOLD} SELECT {KEY_SQL}, event_id, seg, confirmed, first, n FROM st")
 def flow_promotion(spark, d):
-    return flows.promotion(flows.canonical(views.packets(spark, d)), LIMITS)
+    ship(spark)
+    return flows.labelled(views.packets(spark, d), LIMITS).select(*flows.KEY, "event_id", "seg", "confirmed", "first", "n")
 
 
 @query(f"{FOLD} SELECT {KEY_SQL}, seg, max(n) AS packets, min(first) AS first_us FROM st GROUP BY ALL HAVING NOT bool_or(confirmed)")
 def flow_unpromoted(spark, d):
+    ship(spark)
     return flows.unpromoted(views.packets(spark, d), LIMITS)
 
 
 @query(f"{FOLD} SELECT {KEY_SQL}, event_id, seg, is_forward, packet_size FROM st JOIN ck USING ({KEY_SQL}, event_id) WHERE confirmed")
 def flow_confirmed(spark, d):
+    ship(spark)
     return flows.labelled(views.packets(spark, d), LIMITS).where("confirmed").select(*flows.KEY, "event_id", "seg", "is_forward", "packet_size")
 
 
 def _flow_vector(spark, d) -> DataFrame:
+    ship(spark)
     rows = flows.vectors(views.packets(spark, d), LIMITS)
     rows = rounded(rows, "duration", "iat_cv", "byte_ratio_out", "packet_ratio_out")
     return rows.withColumns({"iat_mean": F.round("iat_mean", 9) + 0.0, "iat_variance": F.round("iat_variance", 0) + 0.0, "iat_std": F.round("iat_std", 3) + 0.0})
@@ -495,6 +499,7 @@ def flow_iat_stats(spark, d):
 
 @query(f"{FLOW} SELECT {KEY_SQL}, seg, packet_count, least(last_us + {LIMITS.inactive_us}, first_us + {LIMITS.active_us}) AS expires_us, 'flow_timeout' AS emission_reason FROM flow WHERE least(last_us + {LIMITS.inactive_us}, first_us + {LIMITS.active_us}) < (SELECT max(us) FROM packets)")
 def flow_timeout_emit(spark, d):
+    ship(spark)
     p = views.packets(spark, d)
     last = p.agg(F.max("us")).first()[0]
     return flows.timeouts(p, LIMITS, F.lit(last)).select(*flows.KEY, "seg", "packet_count", "expires_us", "emission_reason")
@@ -858,6 +863,13 @@ def retrain_dga_rows(spark, d):
 # Models: fitted here on derived labels, so their rows are checked but have no SQL
 
 
+def _stored(spark, df: DataFrame) -> DataFrame:
+    """Vectors as the table that a model is fitted to and then scores."""
+    path = scratch_path(spark, "vectors")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _attack(df: DataFrame, rule: F.Column) -> DataFrame:
     return df.withColumn("label", F.when(rule, 1).otherwise(0))
 
@@ -868,7 +880,7 @@ def score_ddos(spark, d):
     from ..models.hoeffding import HoeffdingTree
 
     ship(spark)
-    rows = _attack(src_window_vector(spark, d), F.col("packet_count") >= 5).withColumn("event_id", F.concat_ws("@", F.col("win").cast("string"), "src_ip"))
+    rows = _attack(_stored(spark, src_window_vector(spark, d)), F.col("packet_count") >= 5).withColumn("event_id", F.concat_ws("@", F.col("win").cast("string"), "src_ip"))
     tree = HoeffdingTree()
     tree.learn_batch(rows.orderBy("event_id").limit(500))
     return tree.score(rows).select("win", "src_ip", F.round("raw_score", 6).alias("raw_score"), "status")
@@ -878,7 +890,7 @@ def score_ddos(spark, d):
 def score_portscan(spark, d):
     from ..models.supervised import Supervised
 
-    rows = _attack(src_window_vector(spark, d), F.col("unique_dest_ports_est") >= 3)
+    rows = _attack(_stored(spark, src_window_vector(spark, d)), F.col("unique_dest_ports_est") >= 3)
     return Supervised("port_scanning", "logistic").fit(rows).score(rows).select("win", "src_ip", "label", F.round("raw_score", 6).alias("raw_score"), "status")
 
 
@@ -886,7 +898,7 @@ def _isolated(spark, d, threat: str) -> DataFrame:
     from ..models.isolation import IsolationForest
 
     ship(spark)
-    rows = flows.vectors(views.packets(spark, d), LIMITS)
+    rows = _stored(spark, flows.vectors(views.packets(spark, d), LIMITS))
     return IsolationForest(threat, contamination=0.05).fit(rows).score(rows).select(*flows.KEY, "seg", F.round("raw_score", 6).alias("raw_score"), "is_anomaly", "status")
 
 

@@ -21,7 +21,7 @@ def trace(spark, *packets):
 
 
 def labels(spark, limits, *packets):
-    return [(r.seg, r.n, r.confirmed) for r in flows.promotion(flows.canonical(trace(spark, *packets)), limits).orderBy("event_id").collect()]
+    return [(r.seg, r.n, r.confirmed) for r in flows.labelled(trace(spark, *packets), limits).orderBy("event_id").collect()]
 
 
 def test_promotion_loses_what_came_before(spark):
