@@ -20,13 +20,14 @@ class WordIds:
     its words' ids in a row, and words repeat. Known words stay in two generations of at most ``limit``
     entries each; when the young one is full it becomes the old one, so memory is bounded and words
     still in use survive. A word of Latin letters alone is one pre-token that normalising only lower-cases,
-    so it goes straight to the library's BPE model; all others take the library's whole way.
+    so it goes straight to the library's BPE model; so does one with a run of ASCII marks behind it (no apostrophe), which is a
+    pre-token of its own. All others take the library's whole way.
     """
 
     MARK = "~"
-    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.]?)")
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -38,7 +39,7 @@ class WordIds:
         mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.tail = {x: self.whole(x) if x else b"" for x in ("", ",", ".")}
+        self.tails: dict[str, bytes] = {"": b""}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level alphabet: these stand for themselves
         hidden = [b for b in range(256) if b not in shown]
         self.byte_chars = {b: chr(256 + i) for i, b in enumerate(hidden)}
@@ -46,15 +47,29 @@ class WordIds:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _tail(self, marks: str) -> bytes:
+        ids = self.tails.get(marks)
+        if ids is None:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            ids = self.tails[marks] = self.whole(marks) if marks else b""
+        return ids
+
     def _learn(self, words: list[bytes]) -> None:
         """Encodes plain words one by one, the rest together with a mark between each two."""
         young, model, mark, packed, rest = self.young, self.tokenizer.model, self.MARK.encode(), self.packed, []
         for w in words:
-            if found := self.PLAIN.fullmatch(w.decode()):
-                shown = found[1].lower()
-                if not shown.isascii():
-                    shown = shown.encode().decode("latin-1").translate(self.byte_chars)
-                young[w] = b"".join([packed[x.id] for x in model.tokenize(shown)]) + self.tail[found[2]]
+            if w.isalpha():  # ASCII letters
+                young[w] = b"".join([packed[x.id] for x in model.tokenize(w.decode().lower())])
+            elif found := self.PLAIN.fullmatch(w.decode()):
+                stem, tail = found.groups()
+                ids = young.get(w[: len(w) - len(tail)]) if tail else None
+                if ids is None:
+                    shown = stem.lower()
+                    if not shown.isascii():
+                        shown = shown.encode().decode("latin-1").translate(self.byte_chars)
+                    ids = b"".join([packed[x.id] for x in model.tokenize(shown)])
+                young[w] = ids + self._tail(tail)
             elif self.mark is None or mark in w:
                 young[w] = self.whole(w.decode())
             else:
@@ -96,7 +111,7 @@ class WordIds:
         return out
 
 
-def word_ids(path: str, limit: int = 400_000) -> WordIds:
+def word_ids(path: str, limit: int = 600_000) -> WordIds:
     """The worker's own encoder for this vocabulary."""
     if (path, limit) not in _made:
         _made[path, limit] = WordIds(path, limit)
