@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -26,10 +28,18 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share (``spark.checkpoint.dir``; a temporary one where that is unset)."""
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that all executors share, ``spark.checkpoint.dir``; where that is unset (a local session), a temporary one that
+    goes when the process ends."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='netquarry-')}"
+        folder = tempfile.mkdtemp(prefix="netquarry-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return root.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in :func:`scratch_root`."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"

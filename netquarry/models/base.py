@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 UNTRAINED, TRAINED = "untrained", "trained"
 
-#: Inputs of each model, in order.
+#: Inputs of each model, in order.
 INPUTS = {
     "ddos": ("packet_count", "byte_count", "unique_dest_ips_est", "unique_dest_ports_est", "syn_ratio", "protocol_entropy"),
     "port_scanning": ("unique_dest_ports_est", "dest_port_entropy", "unique_dest_ips_est", "syn_ratio", "protocol_entropy", "packet_count"),

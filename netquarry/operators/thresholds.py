@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CLASS = "threat_class"
-#: Objectives of the medium tier by class; no threshold is set before one has been fitted.
+#: Objectives of the medium tier by class; no threshold is set before one has been fitted.
 OBJECTIVES = (
     ("ddos", "f_beta", 2.0, None),
     ("c2_beaconing", "f_beta_or_min_precision", 2.0, 0.90),
@@ -35,12 +35,15 @@ def pr_curve(scored: DataFrame) -> DataFrame:
     return curve.select(CLASS, "threshold", "tp", "fp", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), recall.alias("recall"), "positives")
 
 
-def average_precision(scored: DataFrame) -> DataFrame:
-    """Step-wise: each gain of recall times the precision there. 0 without positives."""
-    curve = pr_curve(scored)
+def with_gain(curve: DataFrame) -> DataFrame:
+    """Adds each point's part of the average precision: the gain of recall times the precision; 0 without positives."""
     before = F.coalesce(F.lag("recall").over(Window.partitionBy(CLASS).orderBy(F.desc("threshold"))), F.lit(0.0))
-    gain = F.when(F.col("positives") > 0, (F.col("recall") - before) * F.col("precision")).otherwise(0.0)
-    return curve.select(CLASS, gain.alias("gain")).groupBy(CLASS).agg(F.sum("gain").alias("average_precision"))
+    return curve.withColumn("gain", F.when(F.col("positives") > 0, (F.col("recall") - before) * F.col("precision")).otherwise(0.0))
+
+
+def average_precision(scored: DataFrame) -> DataFrame:
+    """The step-wise sum, not the area of a trapezoid."""
+    return with_gain(pr_curve(scored)).groupBy(CLASS).agg(F.sum("gain").alias("average_precision"))
 
 
 def f_beta(beta: Column) -> Column:
@@ -72,15 +75,14 @@ def objectives(spark: SparkSession, rows=OBJECTIVES) -> DataFrame:
 
 def class_thresholds(scored: DataFrame, wanted: DataFrame) -> DataFrame:
     """High and medium tier of every class, with precision and recall there, and average precision, in one pass per class."""
-    curve = pr_curve(scored).join(wanted, CLASS)
+    curve = with_gain(pr_curve(scored)).join(wanted, CLASS)
     kind = F.col("objective")
     beta = F.when(kind == "f1", 1.0).when(kind == "f_beta", F.coalesce("beta", F.lit(1.0))).otherwise(F.coalesce("beta", F.lit(2.0)))
     by_precision = _best(F.col("recall"), F.col("precision") >= F.coalesce("min_precision", F.lit(0.9)))
     by_f = _best(f_beta(beta), F.lit(True))
-    tiers = curve.groupBy(CLASS, "objective").agg(_best(F.col("recall"), F.col("precision") >= HIGH_PRECISION).alias("high"), by_precision.alias("p"), by_f.alias("f"))
+    tiers = curve.groupBy(CLASS, "objective").agg(_best(F.col("recall"), F.col("precision") >= HIGH_PRECISION).alias("high"), by_precision.alias("p"), by_f.alias("f"), F.sum("gain").alias("average_precision"))
     medium = F.when(kind == "min_precision", F.col("p")).when(kind == "f_beta_or_min_precision", F.coalesce("p", "f")).otherwise(F.col("f"))
-    rows = tiers.withColumn("medium", medium).join(average_precision(scored), CLASS)
-    return rows.select(
+    return tiers.withColumn("medium", medium).select(
         CLASS, F.col("high.threshold").alias("high_threshold"), F.col("high.precision").alias("high_precision"), F.col("high.recall").alias("high_recall"),
         F.col("medium.threshold").alias("medium_threshold"), F.col("medium.precision").alias("medium_precision"), F.col("medium.recall").alias("medium_recall"), "average_precision",
     )

@@ -48,28 +48,28 @@ def entropy_by(df: DataFrame, keys: list[str], category: Column) -> DataFrame:
 
 
 def source_vector(packets: DataFrame, width_us: int) -> DataFrame:
-    """The whole vector of a source's window.
+    """The whole vector of a source's window, in one scan and without a join.
 
-    One pass counts packets by (protocol, destination port, destination); the second level sums, and collects the
-    window's few protocols and its ports as counts by category. The shuffle of the second level has one row for each
-    different combination, not for each packet.
+    Grouping sets count each window's packets by destination port, by protocol and by destination at once; a second aggregate
+    takes entropies and distinct counts from those counts. What is shuffled follows the different values, not the packets.
     """
-    fine = windowed(packets, width_us).withColumn("port", _port()).groupBy("win", "src_ip", "protocol", "port", "dst_ip").agg(
-        F.count("*").alias("n"), F.sum("packet_size").alias("bytes"), F.sum(F.col("syn").cast("long")).alias("syn")
+    rows = windowed(packets, width_us).withColumn("port", _port())
+    keys = ["win", "src_ip"]
+    counts = rows.groupingSets([[*keys, "port"], [*keys, "protocol"], [*keys, "dst_ip"]], *keys, "port", "protocol", "dst_ip").agg(
+        F.count("*").alias("n"), F.sum("packet_size").alias("bytes"), F.sum(F.col("syn").cast("long")).alias("syn"), F.grouping("port").alias("no_port"), F.grouping("protocol").alias("no_protocol")
     )
-    ports = fine.groupBy("win", "src_ip", "port").agg(F.sum("n").alias("n")).groupBy("win", "src_ip").agg(_bits("n").alias("dest_port_entropy"), F.count("*").alias("unique_dest_ports_est"))
-    protocols = fine.groupBy("win", "src_ip", "protocol").agg(F.sum("n").alias("n")).groupBy("win", "src_ip").agg(_bits("n").alias("protocol_entropy"))
-    totals = fine.groupBy("win", "src_ip").agg(F.countDistinct("dst_ip").alias("unique_dest_ips_est"), F.sum("n").alias("packet_count"), F.sum("bytes").alias("byte_count"), F.sum("syn").alias("syn_count"))
-    joined = totals.join(ports, ["win", "src_ip"]).join(protocols, ["win", "src_ip"])
-    return joined.select(
-        "win", "src_ip", "unique_dest_ips_est", "unique_dest_ports_est", "dest_port_entropy", "packet_count", "byte_count", "syn_count",
-        ratio(F.col("syn_count"), F.col("packet_count"), 0.0).alias("syn_ratio"), "protocol_entropy",
+    by_port, by_protocol = F.col("no_port") == 0, F.col("no_protocol") == 0
+    n, syn = F.sum(F.when(by_protocol, F.col("n"))), F.sum(F.when(by_protocol, F.col("syn")))
+    return counts.groupBy(*keys).agg(
+        F.count("dst_ip").alias("unique_dest_ips_est"), F.count(F.when(by_port, 1)).alias("unique_dest_ports_est"), _bits(by_port, n).alias("dest_port_entropy"), n.alias("packet_count"),
+        F.sum(F.when(by_protocol, F.col("bytes"))).alias("byte_count"), syn.alias("syn_count"), ratio(syn, n, 0.0).alias("syn_ratio"), _bits(by_protocol, n).alias("protocol_entropy"),
     )
 
 
-def _bits(n: str) -> Column:
-    total = F.sum(n)
-    return F.greatest(F.log2(total.cast("double")) - F.sum(F.col(n) * F.log2(F.col(n).cast("double"))) / total, F.lit(0.0))
+def _bits(chosen: Column, total: Column) -> Column:
+    """Entropy of the counts n of the chosen rows, which add up to ``total``; 0 for none."""
+    weighted = F.sum(F.when(chosen, F.col("n") * F.log2(F.col("n").cast("double"))))
+    return F.coalesce(F.greatest(F.log2(total.cast("double")) - weighted / total, F.lit(0.0)), F.lit(0.0))
 
 
 def port_frequency(packets: DataFrame) -> DataFrame:
@@ -82,15 +82,25 @@ def dns_client(messages: DataFrame) -> DataFrame:
 
 
 def dns_queries(messages: DataFrame, width_us: int) -> DataFrame:
-    """Query side of a client's window; message counts come from messages, the rest from their questions."""
+    """Query side of a client's window in one scan. Messages count once, whatever their number of questions.
+
+    Questions are counted by name and by type at once; the entropy of a name's first label is computed for each different name.
+    Its moments are weighted sums of values of a few bits, so squares lose no precision.
+    """
     queries = windowed(dns_client(messages), width_us).where(~F.col("is_response"))
-    sent = queries.groupBy("win", "client_ip").agg(F.count("*").alias("query_count"))
-    asked = queries.select("win", "client_ip", F.explode("questions").alias("q")).select("win", "client_ip", "q.qname", "q.qtype", text.char_entropy(text.domain_label(F.col("q.qname"))).alias("bits"))
-    stats = asked.groupBy("win", "client_ip").agg(
-        F.countDistinct("qname").alias("unique_domains_est"), F.count("*").alias("domain_n"), F.avg("bits").alias("domain_mean"), F.var_pop("bits").alias("domain_variance")
+    asked = queries.select("win", "client_ip", F.posexplode_outer("questions").alias("pos", "q")).select("win", "client_ip", F.coalesce("pos", F.lit(0)).alias("pos"), "q.qname", "q.qtype", F.col("q").isNotNull().cast("long").alias("one"))
+    keys = ["win", "client_ip"]
+    counts = asked.groupingSets([[*keys, "qname"], [*keys, "qtype"]], *keys, "qname", "qtype").agg(
+        F.sum("one").alias("n"), F.sum(F.when(F.col("pos") == 0, 1).otherwise(0)).alias("sent"), F.grouping("qname").alias("no_name")
     )
-    types = entropy_by(asked, ["win", "client_ip"], F.col("qtype")).select("win", "client_ip", F.col("entropy").alias("query_type_entropy"))
-    return sent.join(stats, ["win", "client_ip"], "left").join(types, ["win", "client_ip"], "left")
+    counts = counts.withColumn("bits", F.when((F.col("no_name") == 0) & (F.col("n") > 0), text.char_entropy(text.domain_label(F.col("qname")))))
+    by_type, n = (F.col("no_name") == 1) & (F.col("n") > 0), F.col("n")
+    total = F.sum(F.when(by_type, n))
+    mean = F.sum(n * F.col("bits")) / total
+    return counts.groupBy(*keys).agg(
+        F.sum(F.when(F.col("no_name") == 1, F.col("sent"))).alias("query_count"), F.count("qname").alias("unique_domains_est"), F.coalesce(total, F.lit(0)).alias("domain_n"),
+        mean.alias("domain_mean"), F.greatest(F.sum(n * F.col("bits") * F.col("bits")) / total - mean * mean, F.lit(0.0)).alias("domain_variance"), _bits(by_type, total).alias("query_type_entropy"),
+    )
 
 
 def min_answer_ttl(answers: Column) -> Column:
