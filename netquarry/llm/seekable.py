@@ -21,8 +21,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import scratch_path
 from .batches import by_bytes, column
-from .store import fresh_path, saved
+from .store import saved
 from .tokens import END_ID, word_ids
 
 SKIPPABLE_INDEX, SKIPPABLE_SEEK_TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -235,5 +236,5 @@ def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
 
 def written_and_read(docs: DataFrame, vocabulary: str, file_rows: int = 8192) -> DataFrame:
     """The documents as read back from files in the shared folder."""
-    folder = fresh_path(docs.sparkSession, "token-files")
+    folder = scratch_path(docs.sparkSession, "token-files")
     return read(docs.sparkSession, folder, write(docs, vocabulary, folder, file_rows))

@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-from ..cluster import scratch_root
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder in ``spark.checkpoint.dir``."""
-    return f"{scratch_root(spark)}/netquarry-{spark.sparkContext.applicationId}"
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+from ..cluster import scratch_path
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: its lineage ends there, and
     what is read again neither runs twice nor depends on an executor that may be lost."""
-    path = fresh_path(df.sparkSession, name)
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -32,10 +21,3 @@ def free(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
-
-
-def forget(spark: SparkSession) -> None:
-    """Deletes this application's tables. Call it when no DataFrame that reads them is in use."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
