@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_folders: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -37,9 +38,31 @@ def scratch_root(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         root = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(root)
+    full = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()  # with the default store's scheme
+    return full.replace("file:/", "file:///", 1).replace("file://///", "file:///", 1).rstrip("/")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's folder in :func:`scratch_root`; it goes when the driver's process ends in order."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = f"{scratch_root(spark)}/netquarry-{app}"
+        atexit.register(_forget_at_exit, spark, _folders[app])
+    return _folders[app]
+
+
+def forget(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _forget_at_exit(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is not None:  # not stopped yet
+        forget(spark, folder)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in :func:`scratch_root`."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in :func:`scratch_dir`."""
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
