@@ -263,9 +263,8 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
         looked = own.withColumn(of, F.when(text.rlike(HINT), F.sha2(text, 256)))
         looked = looked.join(maps, F.col(of) == F.col(maps.columns[0]), "left").drop(of, maps.columns[0])
     # a mark on both sides of each mention; those that the text has itself are set aside
-    held = F.translate(text, "\u0001", "") if False else text
-    found = mentions(held)
-    parts = F.split(F.regexp_replace(F.replace(held, F.lit("\u0001"), F.lit("\u0001\u0002\u0001")), MENTION, "\u0001$0\u0001"), "\u0001")
+    found = mentions(text)
+    parts = F.split(F.regexp_replace(F.replace(text, F.lit("\u0001"), F.lit("\u0001\u0002\u0001")), MENTION, "\u0001$0\u0001"), "\u0001")
     put = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 0, p).when(p == "\u0002", F.lit("\u0001")).otherwise(rendered(key, p, F.col(attempts)))), "")
     new = F.when(text.rlike(HINT) & (F.size(found) > 0), put).otherwise(text)
     kept = [F.col(f"`{c}`") if c != "text" else new.alias("text") for c in own.columns]
