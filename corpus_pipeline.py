@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.cluster import ship
-from netquarry.llm import packing, pii, quality, simhash, toxicity
+from netquarry.llm import packing, pii, quality, similar, toxicity
 from netquarry.llm.queries import PII_KEY, WORDS, table
 from netquarry.llm.store import saved
 
@@ -24,9 +24,9 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component."""
+    """The document with the smallest doc_id of each group of near copies: five-word shingles, similarity of at least 0.8."""
     ship(spark)
-    return simhash.keep_first(docs, radius=2, shingle=3)
+    return similar.keep_first(docs, shingle=5, part=4, whole=5)
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
