@@ -90,25 +90,32 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), step)
 
 
-def _made_name(h: Column, kind: Column, canon: Column) -> Column:
-    """Three parts and an ending in the name's script, the ending by gender; more parts after a collision."""
+def _made_name(h: Column, kind: Column, canon: Column, attempt: Column) -> Column:
+    """Three parts and an ending in the name's script, the ending by gender; one more part after each collision."""
     out = F.lit(None).cast("string")
     for script, parts in PARTS.items():
         many = F.array(*map(F.lit, parts))
         for gender, endings in ENDINGS[script].items():
-            pieces = [F.element_at(many, _byte(h, F.lit(i)) % len(parts) + 1) for i in range(3)]
-            made = F.concat(*pieces, F.element_at(F.array(*map(F.lit, endings)), _byte(h, F.lit(3)) % len(endings) + 1))
+            # byte 3 decides the ending; the lambda is called at once
+            pieces = F.transform(F.sequence(F.lit(0), attempt + 2), lambda i: F.element_at(many, _byte(h, F.when(i < 3, i).otherwise(i + 1)) % len(parts) + 1))  # noqa: B023
+            made = F.concat(F.array_join(pieces, ""), F.element_at(F.array(*map(F.lit, endings)), _byte(h, F.lit(3)) % len(endings) + 1))
             out = F.when(kind == f"name_{gender}_{script}", made).otherwise(out)
     return F.coalesce(out, canon)
 
 
 def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    """The replacement of an entity in canonical form, after so many collisions."""
-    given = F.struct(kind.alias("kind"), canon.alias("canon"), keyed(key, kind, canon, attempt.cast("string")).alias("h"))
-    return _let(given, lambda x: _surrogate(key, x["kind"], x["canon"], x["h"]))
+    """The replacement of an entity in canonical form, after so many collisions.
 
+    Where a kind has few surrogates the attempts widen its space: names get a part and mailboxes a letter for each, telephone numbers
+    a digit for every fourth; private addresses move to 10.0.0.0/8 from the 16th and to any address from the 32nd.
+    """
+    given = F.struct(kind.alias("kind"), canon.alias("canon"), attempt.cast("int").alias("attempt"), keyed(key, kind, canon, attempt.cast("string")).alias("h"))
+    return _let(given, lambda x: _surrogate(key, x["kind"], x["canon"], x["h"], x["attempt"]))
+
+
+def _surrogate(key: str, kind: Column, canon: Column, h: Column, attempt: Column) -> Column:
+    more = lambda n, each: F.array_join(F.transform(F.filter(F.sequence(F.lit(0), n), lambda i: i > 0), each), "")
 
-def _surrogate(key: str, kind: Column, canon: Column, h: Column) -> Column:
     def numbers(keep: Column, low: Column) -> Column:
         first = (low + _byte(h, keep) % (F.lit(10) - low)).cast("string")
         return F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.when(i < keep, c).when(i == keep, first).otherwise(_digit_from(h, i))), "")
@@ -116,12 +123,13 @@ def _surrogate(key: str, kind: Column, canon: Column, h: Column) -> Column:
     keep = F.when(kind == "ssn", 0).otherwise(1)
     low = F.when(kind == "phone", 2).when(kind == "ssn", 1).otherwise(0)
     checked = lambda stem: F.concat(stem, F.pmod(_luhn(canon) - _luhn(F.concat(stem, F.lit("0"))), F.lit(10)).cast("string"))
-    number = _let(numbers(keep, low), lambda n: F.when(kind == "card", _let(F.substr(n, F.lit(1), F.length(n) - 1), checked)).otherwise(n))
+    number = _let(numbers(keep, low), lambda n: F.when(kind == "card", _let(F.substr(n, F.lit(1), F.length(n) - 1), checked)).when(kind == "phone", F.concat(n, more(F.floor(attempt / 4).cast("int"), lambda i: _digit_from(h, 63 - i)))).otherwise(n))
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
     host = F.substr(domain, F.lit(1), F.length(domain) - F.length(top))
-    email = F.concat(_restyled(local, h), F.lit("@"), _let(host, lambda x: _let(keyed(key, F.lit("host"), x), lambda k: _restyled(x, k))), top)
+    email = F.concat(_restyled(local, h), more(attempt, lambda i: _letter(97, 26, _byte(h, 64 - i))), F.lit("@"), _let(host, lambda x: _let(keyed(key, F.lit("host"), x), lambda k: _restyled(x, k))), top)
     private = F.regexp_extract(canon, r"^(10|192\.168|172\.(?:1[6-9]|2\d|3[01])|127)\.", 1)
+    private = F.when((attempt < 16) | (private == ""), private).when(attempt < 32, "10").otherwise("")
     octet = lambda p: lambda c, i: F.when((p != "") & (i < F.size(F.split(p, r"\."))), c).otherwise((_byte(h, i) * 7 % 254 + 1).cast("string"))
     ip = _let(private, lambda p: F.array_join(F.transform(F.split(canon, r"\."), octet(p)), "."))
     country, account = F.substr(canon, F.lit(1), F.lit(2)), _restyled(F.substr(canon, F.lit(5)), h)
@@ -133,7 +141,7 @@ def _surrogate(key: str, kind: Column, canon: Column, h: Column) -> Column:
         .when(kind == "iban", iban)
         .when(kind == "key", F.concat(F.lit("AKIA"), _restyled(F.substr(canon, F.lit(5)), h)))
         .when(kind == "hex", F.substr(h, F.lit(1), F.length(canon)))
-        .otherwise(_made_name(h, kind, canon))
+        .otherwise(_made_name(h, kind, canon, attempt))
     )
 
 
@@ -192,7 +200,11 @@ def _shaped(mention: Column, kind: Column, plain: Column) -> Column:
     to = lambda i: F.substr(mention, F.lit(1), i + 1)
     at = lambda n: F.substr(plain, n, F.lit(1))
     digits = each(lambda c, i: F.when(c.between("0", "9"), at(F.length(F.regexp_replace(to(i), r"\D", "")))).otherwise(c))
-    letters = each(lambda c, i: F.when(c.between("A", "Z"), F.upper(at(i + 1))).otherwise(at(i + 1)))
+    count = F.length(F.regexp_replace(mention, r"\D", ""))
+    digits = F.concat(digits, F.substr(plain, count + 1, F.length(plain)))
+    extra = F.length(plain) - F.length(mention)  # letters that attempts put behind a mailbox
+    behind = lambda i: F.when(i < F.instr(mention, "@") - 1, i + 1).otherwise(i + 1 + extra)
+    letters = each(lambda c, i: F.when(c == "@", F.substr(plain, i + 1, extra + 1)).when(c.between("A", "Z"), F.upper(at(behind(i)))).otherwise(at(behind(i))))
     spaced = each(lambda c, i: F.when(c == " ", c).otherwise(at(F.length(F.replace(to(i), F.lit(" "), F.lit(""))))))
     return F.when(kind.isin(*DIGITS), digits).when(kind == "email", letters).when(kind == "iban", spaced).otherwise(plain)
 
@@ -223,8 +235,9 @@ def collisions(found: DataFrame, key: str, most: int = 64) -> DataFrame:
     same one the first keeps it and the others try again, until none is left; raises after ``most`` rounds.
     """
     known = saved(found.select("kind", "canon").distinct().withColumn("attempt", F.lit(0)), "entities")
+    made = surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt"))
     for _ in range(most):
-        tried = known.withColumn("sur", surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt")))
+        tried = known.withColumn("sur", made)
         order = Window.partitionBy("kind", "sur").orderBy("attempt", "canon")
         real = known.select(F.col("kind").alias("real_kind"), F.col("canon").alias("real"))
         checked = tried.withColumn("nth", F.row_number().over(order)).join(real, (F.col("kind") == F.col("real_kind")) & (F.col("sur") == F.col("real")), "left")

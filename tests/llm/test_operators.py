@@ -273,6 +273,21 @@ def test_pii_collisions_are_resolved(spark):
     assert len(set(out)) == len(names) and not set(out) & {n.split()[1] for n in names}
 
 
+def test_pii_surrogates_grow_with_the_entities(spark):
+    """More surnames than three parts can tell apart, and all one-letter mailboxes of a host."""
+    letters = "abcdefghij"
+    names = [f"Mr. Zz{a}{b}{c}{d}" for a in letters for b in letters for c in letters for d in letters] + [f"Mr. Yy{a}{b}{c}" for a in letters for b in letters for c in letters]
+    mails = [f"{c}@Host.example.com" for c in "abcdefghijklmnopqrstuvwxyz_"]
+    df = spark.createDataFrame([(i, f"So {t} came") for i, t in enumerate(names + mails)], "doc_id long, text string")
+    out = [r.text[3:-5] for r in pii.replaced(df, "k").orderBy("doc_id").collect()]
+    low = {x.lower() for x in out}
+    assert len(low) == len(names) + len(mails) and not low & {x.lower() for x in names + mails}
+    assert all(x.startswith("Mr. ") for x in out[: len(names)]) and all(x.count("@") == 1 and x[x.index("@") + 1].isupper() and x.endswith(".com") for x in out[len(names) :])
+    rows = [("ip", "192.168.3.4", 0), ("ip", "192.168.3.4", 16), ("ip", "192.168.3.4", 32), ("phone", "12345", 3), ("phone", "12345", 8)]
+    made = [r.s for r in spark.createDataFrame(rows, "kind string, canon string, attempt int").select(pii.surrogate("k", F.col("kind"), F.col("canon"), F.col("attempt")).alias("s")).collect()]
+    assert made[0].startswith("192.168.") and made[1].startswith("10.") and not made[2].startswith(("192.168.", "10.")) and [len(x) for x in made[3:]] == [5, 7]
+
+
 # Quality
 
 
