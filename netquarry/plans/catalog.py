@@ -876,13 +876,13 @@ def _attack(df: DataFrame, rule: F.Column) -> DataFrame:
 
 @query()
 def score_ddos(spark, d):
-    """An online tree that learns 500 labelled window vectors in order and scores all."""
+    """An online tree that learns all labelled window vectors in order and scores them."""
     from ..models.hoeffding import HoeffdingTree
 
     ship(spark)
     rows = _attack(_stored(spark, src_window_vector(spark, d)), F.col("packet_count") >= 5).withColumn("event_id", F.concat_ws("@", F.col("win").cast("string"), "src_ip"))
     tree = HoeffdingTree()
-    tree.learn_batch(rows.orderBy("event_id").limit(500))
+    tree.learn_batch(rows)
     return tree.score(rows).select("win", "src_ip", F.round("raw_score", 6).alias("raw_score"), "status")
 
 

@@ -93,3 +93,12 @@ def test_retraining_floors(spark):
     assert verdicts.retrain(rows, count) == 42 and verdicts.retrain(rows, count, benign_only=True) == 21
     assert verdicts.retrain(rows.limit(30), count, benign_only=True) is None and verdicts.retrain(rows.limit(19), count) is None
     assert verdicts.retrain(rows, count, need="domain") == 28
+
+
+def test_score_ddos_learns_every_window(spark, monkeypatch):
+    from netquarry.plans import catalog
+
+    seen, score = [], HoeffdingTree.score
+    monkeypatch.setattr(HoeffdingTree, "score", lambda self, rows: seen.append(self.seen) or score(self, rows))
+    n = catalog.score_ddos(spark, "/root/testdata/sf0.01").count()
+    assert seen == [n] and n > 500
