@@ -40,7 +40,8 @@ def resolve(records: DataFrame, buckets: int = 1024) -> DataFrame:
     - different: 'stale'; none in common: 'unchecked'; no earlier response, or no URL: 'missing'. Digest and headers stay its own.
 
     A response is its own source, status 'response'. Other kinds pass with status 'other'. Records with a null ts come first. Null
-    headers are none. Rows with the same record_id are one record, the first by digest. An empty table gives no rows.
+    headers are none. Every row is a record of its own, rows with a null or repeated record_id too; of responses that tie in (ts, record_id)
+    the last by digest and headers counts as the latest, and none of them is before a revisit that ties with them. An empty table gives no rows.
 
     The as-of join never sorts a URL's whole history in one task: time is cut into ``buckets`` spans; the latest response is looked
     for within (URL, span), and the last one of earlier spans is carried over from one row for each, so a hot URL is spread over spans.
@@ -53,28 +54,27 @@ def resolve(records: DataFrame, buckets: int = 1024) -> DataFrame:
         F.coalesce(F.col("headers"), F.create_map().cast("map<string,string>")).alias("headers"),
         F.col("payload_digest").cast("string").alias("payload_digest"),
     )
-    one = F.min(F.struct(F.coalesce("payload_digest", F.lit("")).alias("by"), "url_key", "ts", "kind", F.array_sort(F.map_entries("headers")).alias("h"), "payload_digest"))
-    r = r.groupBy("record_id").agg(one.alias("x")).select("record_id", "x.url_key", "x.ts", "x.kind", F.map_from_entries("x.h").alias("headers"), "x.payload_digest")
-    r = saved(r, "records")
+    r = saved(r.withColumn("row", F.monotonically_increasing_id()), "records")
     span = r.where(F.col("ts") > -(2**63)).agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
     low, width = (0, 1) if span.low is None else (span.low, max(1, -(-(span.high - span.low + 1) // buckets)))
-    is_response = F.col("kind") == "response"
-    place = F.struct("ts", "record_id")
-    keyed = r.select("record_id", "url_key", "ts", is_response.alias("full"), F.floor((F.greatest("ts", F.lit(low - 1)) - low) / width).cast("long").alias("span"))
+    is_response = F.coalesce(F.col("kind") == "response", F.lit(False))
+    order = ["ts", "record_id", "full", "tie", "row"]
+    tie = F.struct(F.coalesce("payload_digest", F.lit("")), F.xxhash64(F.array_sort(F.map_entries("headers"))))
+    keyed = r.select("row", "record_id", "url_key", "ts", tie.alias("tie"), is_response.alias("full"), F.floor((F.greatest("ts", F.lit(low - 1)) - low) / width).cast("long").alias("span"))
     keyed = keyed.where(F.col("url_key").isNotNull())
-    here = F.last(F.when(F.col("full"), F.col("record_id")), ignorenulls=True).over(Window.partitionBy("url_key", "span").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1))
-    within = keyed.select("record_id", "url_key", "span", "full", here.alias("here"))
-    ends = keyed.groupBy("url_key", "span").agg(F.max(F.when(F.col("full"), place)).alias("end"))
+    here = F.last(F.when(F.col("full"), F.col("row")), ignorenulls=True).over(Window.partitionBy("url_key", "span").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    within = keyed.select("row", "url_key", "span", "full", here.alias("here"))
+    ends = keyed.groupBy("url_key", "span").agg(F.max(F.when(F.col("full"), F.struct(*order))).alias("end"))
     before = F.last("end", ignorenulls=True).over(Window.partitionBy("url_key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
-    carried = ends.select(F.col("url_key").alias("k"), F.col("span").alias("s"), before["record_id"].alias("earlier"))
+    carried = ends.select(F.col("url_key").alias("k"), F.col("span").alias("s"), before["row"].alias("earlier"))
     found = within.where(~F.col("full")).join(carried, (F.col("url_key") == F.col("k")) & (F.col("span") == F.col("s")), "left")
-    found = saved(found.select(F.col("record_id").alias("revisit_id"), F.coalesce("here", "earlier").alias("response_id")).where("response_id IS NOT NULL"), "sources")
-    full = r.where(is_response).select(F.col("record_id").alias("full_id"), F.col("headers").alias("full_headers"), F.col("payload_digest").alias("full_digest"))
-    joined = r.join(found, (F.col("kind") == "revisit") & (F.col("record_id") == F.col("revisit_id")), "left").join(full, F.col("response_id") == F.col("full_id"), "left")
+    found = saved(found.select(F.col("row").alias("revisit_row"), F.coalesce("here", "earlier").alias("response_row")).where("response_row IS NOT NULL"), "sources")
+    full = r.where(is_response).select(F.col("row").alias("full_row"), F.col("record_id").alias("full_id"), F.col("headers").alias("full_headers"), F.col("payload_digest").alias("full_digest"))
+    joined = r.join(found, (F.col("kind") == "revisit") & (F.col("row") == F.col("revisit_row")), "left").join(full, F.col("response_row") == F.col("full_row"), "left")
     own, stored = lambda h: F.try_element_at("headers", F.lit(h)), lambda h: F.try_element_at("full_headers", F.lit(h))
     same = F.coalesce(_weak(own("etag")) == _weak(stored("etag")), own("last-modified") == stored("last-modified"), F.col("payload_digest") == F.col("full_digest"))
     status = (
-        F.when(F.col("kind") == "response", "response").when(~F.coalesce(F.col("kind") == "revisit", F.lit(False)), "other").when(F.col("response_id").isNull(), "missing")
+        F.when(F.col("kind") == "response", "response").when(~F.coalesce(F.col("kind") == "revisit", F.lit(False)), "other").when(F.col("response_row").isNull(), "missing")
         .when(same.isNull(), "unchecked").when(same, "resolved").otherwise("stale")
     )
     fresh = F.map_filter("headers", lambda k, v: k.isin(*PERMITTED))
@@ -85,7 +85,7 @@ def resolve(records: DataFrame, buckets: int = 1024) -> DataFrame:
         "record_id",
         "url_key",
         "kind",
-        F.when(F.col("status") == "response", F.col("record_id")).otherwise(F.col("response_id")).alias("source_id"),
+        F.when(F.col("status") == "response", F.col("record_id")).otherwise(F.col("full_id")).alias("source_id"),
         "status",
         F.when(resolved, merged).otherwise(F.col("headers")).alias("headers"),
         F.when(resolved, F.col("full_digest")).otherwise(F.col("payload_digest")).alias("payload_digest"),

@@ -399,6 +399,16 @@ def test_revisits_against_a_scan(spark):
     assert revisit.resolve(df.where("false")).count() == 0
 
 
+def test_revisits_keep_null_and_repeated_ids(spark):
+    pages = spark.createDataFrame([(None, "http://a.example.com/", "x"), (None, "http://b.example.com/", "y"), (4, "http://c.example.com/", "p"), (4, "http://d.example.com/", "q"), (4, "http://d.example.com/", "q")], "page_id long, url string, html string")
+    records = revisit.captures(pages)
+    rows = revisit.resolve(records).collect()
+    given = Counter((r.record_id, plain_key(r.url), r.kind) for r in records.collect())
+    assert given.total() == 15 and Counter((r.record_id, r.url_key, r.kind) for r in rows) == given
+    full = {plain_key(u): hashlib.sha256(h.encode()).hexdigest() for u, h in (("http://c.example.com/", "p"), ("http://d.example.com/", "q"))}
+    assert all(r.payload_digest == full[r.url_key] for r in rows if r.record_id is not None and r.status in ("response", "resolved"))
+
+
 # Hilbert sharding
 
 
