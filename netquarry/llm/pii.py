@@ -38,7 +38,7 @@ PATTERNS = {
     "card": r"(?<![\w-])[3-6]\d{3}(?:[ -]?\d{4}){3}(?![\w-])|(?<![\w-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\w-])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "key": r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)",
-    "hex": r"(?<=[\"'=: ])(?=[a-f]*+\d)(?=\d*+[a-f])[0-9a-f]{40}(?!\w)",
+    "hex": r"(?<=[\"'=: ])(?=[a-fA-F]*+\d)(?=\d*+[a-fA-F])[0-9a-fA-F]{40}(?!\w)",
     "name": rf"(?<!\p{{L}})(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? \p{{Lu}}\p{{L}}++(?: \p{{Lu}}\p{{L}}++)?",
 }
 MENTION = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -152,7 +152,7 @@ def kind_of(mention: Column) -> Column:
         .when(mention.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip")
         .when(whole("ssn"), "ssn")
         .when(mention.startswith("AKIA"), "key")
-        .when(mention.rlike("^[0-9a-f]{40}$"), "hex")
+        .when(mention.rlike("^[0-9a-fA-F]{40}$"), "hex")
         .when(mention.rlike(r"^[A-Z]{2}\d{2}"), "iban")
         .when(mention.rlike(r"^\p{L}"), "name")
         .when(whole("card"), "card")
@@ -161,7 +161,7 @@ def kind_of(mention: Column) -> Column:
 
 
 def _canon(kind: Column, mention: Column) -> Column:
-    return F.when(kind.isin(*DIGITS), F.regexp_replace(mention, r"\D", "")).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).when(kind == "email", F.lower(mention)).otherwise(mention)
+    return F.when(kind.isin(*DIGITS), F.regexp_replace(mention, r"\D", "")).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).when(kind.isin("email", "hex"), F.lower(mention)).otherwise(mention)
 
 
 def _name_kind(word: Column, gender: Column) -> Column:
@@ -206,7 +206,7 @@ def _shaped(mention: Column, kind: Column, plain: Column) -> Column:
     behind = lambda i: F.when(i < F.instr(mention, "@") - 1, i + 1).otherwise(i + 1 + extra)
     letters = each(lambda c, i: F.when(c == "@", F.substr(plain, i + 1, extra + 1)).when(c.between("A", "Z"), F.upper(at(behind(i)))).otherwise(at(behind(i))))
     spaced = each(lambda c, i: F.when(c == " ", c).otherwise(at(F.length(F.replace(to(i), F.lit(" "), F.lit(""))))))
-    return F.when(kind.isin(*DIGITS), digits).when(kind == "email", letters).when(kind == "iban", spaced).otherwise(plain)
+    return F.when(kind.isin(*DIGITS), digits).when(kind == "email", letters).when(kind == "iban", spaced).when((kind == "hex") & (mention == F.upper(mention)), F.upper(plain)).otherwise(plain)
 
 
 def rendered(key: str, mention: Column, attempts: Column) -> Column:

@@ -273,6 +273,13 @@ def test_pii_collisions_are_resolved(spark):
     assert len(set(out)) == len(names) and not set(out) & {n.split()[1] for n in names}
 
 
+def test_pii_keys_in_capitals(spark):
+    real = "9233a8ec" * 5
+    df = spark.createDataFrame([(1, f'token = "{real}"'), (2, f'TOKEN = "{real.upper()}"')], "doc_id long, text string")
+    low, high = [r.text for r in pii.replaced(df, "k").orderBy("doc_id").collect()]
+    assert real not in low and high == low.upper() and len(low) == len(f'token = "{real}"')
+
+
 def test_pii_surrogates_grow_with_the_entities(spark):
     """More surnames than three parts can tell apart, and all one-letter mailboxes of a host."""
     letters = "abcdefghij"
