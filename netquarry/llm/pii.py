@@ -130,7 +130,7 @@ def _surrogate(key: str, kind: Column, canon: Column, h: Column, attempt: Column
     email = F.concat(_restyled(local, h), more(attempt, lambda i: _letter(97, 26, _byte(h, 64 - i))), F.lit("@"), _let(host, lambda x: _let(keyed(key, F.lit("host"), x), lambda k: _restyled(x, k))), top)
     private = F.regexp_extract(canon, r"^(10|192\.168|172\.(?:1[6-9]|2\d|3[01])|127)\.", 1)
     private = F.when((attempt < 16) | (private == ""), private).when(attempt < 32, "10").otherwise("")
-    octet = lambda p: lambda c, i: F.when((p != "") & (i < F.size(F.split(p, r"\."))), c).otherwise((_byte(h, i) * 7 % 254 + 1).cast("string"))
+    octet = lambda p: lambda c, i: F.when((p != "") & (i < F.size(F.split(p, r"\."))), F.get(F.split(p, r"\."), i)).otherwise((_byte(h, i) * 7 % 254 + 1).cast("string"))
     ip = _let(private, lambda p: F.array_join(F.transform(F.split(canon, r"\."), octet(p)), "."))
     country, account = F.substr(canon, F.lit(1), F.lit(2)), _restyled(F.substr(canon, F.lit(5)), h)
     iban = _let(account, lambda x: F.concat(country, F.lpad((F.lit(98) - _mod97(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0"), x))
