@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import by_bytes, column
-from .tokens import END_ID, word_ids
+from .tokens import word_ids
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -57,15 +57,16 @@ def cut(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.
 
 def _pieces(path: str, capacity: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, seen = word_ids(path), END_ID.to_bytes(4, "little"), Counter()
-        for batch in by_bytes(batches):
-            raws = [ids + end for ids in encoder.encode(column(batch, "text").to_pylist())]
-            sizes = np.array([len(r) // 4 for r in raws], dtype=np.int64)
+        encoder, seen = word_ids(path), Counter()
+        for batch in by_bytes(batches, limit=1 << 22):
+            ids, starts = encoder.ids(column(batch, "text"), end=True)
+            raw, sizes = memoryview(ids).cast("B"), np.diff(starts)
             doc, start, length = cut(sizes, capacity)
-            crc = [zlib.crc32(memoryview(raws[d])[4 * s : 4 * (s + n)]) for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+            at = starts[doc] + start
+            crc = [zlib.crc32(raw[4 * i : 4 * (i + n)]) for i, n in zip(at.tolist(), length.tolist(), strict=True)]
             again = []  # tells repeated rows apart, so that they can go to different groups
-            for i, r in zip(column(batch, "doc_id").to_pylist(), raws, strict=True):
-                seen[key := (i, hash(r))] += 1
+            for key in zip(column(batch, "doc_id").to_pylist(), sizes.tolist(), (crc[k] for k in np.flatnonzero(start == 0).tolist()), strict=True):
+                seen[key] += 1
                 again.append(seen[key])
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "doc_id").cast(pa.int64()).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(sizes[doc]), pa.array(np.array(again, dtype=np.int64)[doc])],

@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 from ..cluster import scratch_path
 from .batches import by_bytes, column
 from .store import saved
-from .tokens import END_ID, word_ids
+from .tokens import word_ids
 
 SKIPPABLE_INDEX, SKIPPABLE_SEEK_TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80
 INDEX_HEAD = struct.Struct("<4sBxxxQ")  # magic, bytes of an id, documents
 INDEX_MAGIC = b"TIDX"
 FRAME_BYTES = 1 << 18
+LEAST = -(2**63)
 
 
 def open_fs(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -133,11 +134,11 @@ class Reader:
 
 def _encode(path: str, bounds: np.ndarray, width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, seen = word_ids(path), END_ID.to_bytes(4, "little"), Counter()
-        for batch in by_bytes(batches):
-            raws = [ids + end for ids in encoder.encode(column(batch, "text").to_pylist())]
-            ids = column(batch, "doc_id")
-            values = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+        encoder, seen = word_ids(path), Counter()
+        for batch in by_bytes(batches, limit=1 << 22):
+            ids, starts = encoder.ids(column(batch, "text"), end=True)
+            owner = column(batch, "doc_id")
+            values = owner.fill_null(LEAST).to_numpy(zero_copy_only=False)
             low, high = np.searchsorted(bounds, values, "left"), np.searchsorted(bounds, values, "right")
             again = []  # an id that fills several files is dealt over them
             for x in values.tolist():
@@ -146,9 +147,8 @@ def _encode(path: str, bounds: np.ndarray, width: int):
             if len(seen) > 1 << 17:
                 seen = Counter({x: n for x, n in seen.items() if n > 1})
             file = low + np.array(again, dtype=np.int64) % (high - low + 1)
-            if width == 2:
-                raws = [np.frombuffer(r, dtype="<u4").astype("<u2").tobytes() for r in raws]
-            yield pa.RecordBatch.from_arrays([pa.array(file.astype(np.int32)), ids, pa.array(raws, pa.binary())], names=["file", "doc_id", "ids"])
+            raw = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts * width), pa.py_buffer(ids.astype(f"<u{width}"))])
+            yield pa.RecordBatch.from_arrays([pa.array(file.astype(np.int32)), owner, raw.cast(pa.binary())], names=["file", "doc_id", "ids"])
 
     return run
 
@@ -156,23 +156,21 @@ def _encode(path: str, bounds: np.ndarray, width: int):
 def _write(folder: str, width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_fs(folder)
-        file, writer, out, temporary = None, None, None, ""
+        store.create_dir(base, recursive=True)
+        file, name, writer, out = None, "", None, None
 
         def done():
             n, total = writer.close()
             out.close()
-            final = f"{base}/part-{file:08d}.zst"
-            store.move(temporary, final)  # an attempt that was lost leaves only its temporary file
-            return pa.RecordBatch.from_pydict({"file": pa.array([file], pa.int32()), "docs": pa.array([n], pa.int64()), "ids": pa.array([total], pa.int64())})
+            return pa.RecordBatch.from_pydict({"file": pa.array([file], pa.int32()), "name": pa.array([name]), "docs": pa.array([n], pa.int64()), "ids": pa.array([total], pa.int64())})
 
-        for batch in batches:
+        for batch in by_bytes(batches, "ids"):
             for f, doc_id, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if f != file:
                     if writer:
                         yield done()
-                    file, temporary = f, f"{base}/.part-{f:08d}-{uuid.uuid4().hex}"
-                    store.create_dir(base, recursive=True)
-                    out = store.open_output_stream(temporary)
+                    file, name = f, f"part-{f:08d}-{uuid.uuid4().hex}.zst"
+                    out = store.open_output_stream(f"{base}/{name}", compression=None)  # the frames are compressed already
                     writer = Writer(out, width)
                 writer.add(doc_id, raw)
         if writer:
@@ -182,26 +180,35 @@ def _write(folder: str, width: int):
 
 
 def write(docs: DataFrame, vocabulary: str, folder: str, file_rows: int = 8192, most_files: int = 10_000) -> DataFrame:
-    """Writes every document's ids and end id in ascending order of doc_id; returns file, docs, ids of each file.
+    """Writes every document's ids and end id in ascending order of doc_id; returns file, name, docs, ids of each file.
 
     Bounds of the files come from approximate quantiles of doc_id, ``most_files`` at most; each task tokenises,
-    the ids (two bytes each if the vocabulary allows) are shuffled to their file, sorted, and streamed out. A file is
-    written under a temporary name and moved when complete, so a task can be run again.
+    the ids (two bytes each if the vocabulary allows) are shuffled to their file, sorted, and streamed out. Every attempt of a task writes
+    under a name of its own, and the returned table, which Spark commits once for each task, names the files that count; so a task
+    can be run again on any store, without a rename, and what lost attempts left is deleted at the end.
 
     ``docs`` needs doc_id and text; other columns are ignored. A null or empty text is the end id alone; null ids come
-    first; repeated rows are written each, an id that fills more than a file over several. An empty table
+    first; repeated rows are written each, an id (or null) that fills more than a file over several. An empty table
     writes no file.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = docs.count()
     files = min(most_files, -(-n // file_rows)) if n else 1
     cuts = [i / files for i in range(1, files)]
-    found = docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, cuts)), 20 * most_files)).first()[0] if cuts else []
+    order = F.coalesce("doc_id", F.lit(LEAST))
+    found = docs.agg(F.percentile_approx(order, F.array(*map(F.lit, cuts)), 20 * most_files)).first()[0] if cuts else []
     bounds = np.sort(np.array(found or [], dtype=np.int64))
     width = 2 if word_ids(vocabulary).tokenizer.get_vocab_size() <= 1 << 16 else 4
     encoded = docs.mapInArrow(_encode(vocabulary, bounds, width), "file int, doc_id long, ids binary")
     dealt = encoded.repartitionById(files, F.col("file")).sortWithinPartitions("file", F.asc_nulls_first("doc_id"), F.crc32("ids"))
-    return saved(dealt.mapInArrow(_write(folder, width), "file int, docs long, ids long"), "files")
+    written = saved(dealt.mapInArrow(_write(folder, width), "file int, name string, docs long, ids long"), "files")
+    store, base = open_fs(folder)
+    if store.get_file_info(base).type == pyarrow.fs.FileType.Directory:
+        named = {r.name for r in written.select("name").collect()}
+        for info in store.get_file_info(pyarrow.fs.FileSelector(base)):
+            if info.base_name not in named:
+                store.delete_file(info.path)
+    return written
 
 
 def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
@@ -210,10 +217,10 @@ def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     What is known of the files (one row each, a bounded number) gives each file's first place; the documents
     themselves are read by the executors, a file to a task.
     """
-    known = sorted(tuple(r) for r in files.select("file", "docs", "ids").collect())
+    known = sorted(tuple(r) for r in files.select("file", "name", "docs", "ids").collect())
     first, at = [], 0
-    for file, _, ids in known:
-        first.append((file, at))
+    for _, name, _, ids in known:
+        first.append((name, at))
         at += ids
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not first:
@@ -222,15 +229,15 @@ def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_fs(folder)
         for batch in batches:
-            for file, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with store.open_input_file(f"{base}/part-{file:08d}.zst") as source:
+            for name, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_input_file(f"{base}/{name}") as source:
                     reader = Reader(source)
                     crc = [zlib.crc32(reader.document(k)) for k in range(len(reader.counts))]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(reader.doc_ids, pa.int64()), pa.array(reader.starts + before), pa.array(reader.counts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
                     )
 
-    places = spark.createDataFrame(first, "file int, before long").repartition(len(first), "file")
+    places = spark.createDataFrame(first, "name string, before long").repartition(len(first), "name")
     return places.mapInArrow(run, schema)
 
 
