@@ -1,5 +1,6 @@
 """Each operator against brute force, an exact round trip or held-out accuracy, with odd inputs."""
 
+import functools
 import hashlib
 import io
 import random
@@ -8,12 +9,15 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.fs
 import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from netquarry.cluster import scratch_path
 from netquarry.llm import bpe, components, hilbert, packing, pii, quality, revisit, seekable, simhash, tokens, topk, toxicity
 
 
@@ -21,10 +25,11 @@ def key(x):
     return (x is not None, x)
 
 
+library = functools.cache(Tokenizer.from_file)
+
+
 def token_ids(words_path, text):
-    t = Tokenizer.from_file(words_path)
-    t.encode_special_tokens = True
-    return np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], dtype="<u4")
+    return np.array([*library(words_path).encode(text or "", add_special_tokens=False).ids, 1], dtype="<u4")
 
 
 # Tokenizer
@@ -32,7 +37,11 @@ def token_ids(words_path, text):
 
 def test_words_are_encoded_as_the_library_does(words_path, texts):
     own = tokens.WordIds(words_path, limit=500)  # so small that generations turn over
-    for part in (texts[:40], texts[40:], texts[:40]):
+    rng = random.Random(12)
+    letters = "aZ09.,'~<|> \t\nÉß×÷ÿªµ\xad\xa0\x85\x1c\x7f\u0301́İſΣя日ﬁ１²😀"
+    special = ["a <|endoftext|> b<|startoftext|>c", "<|ENDOFTEXT|> <|endoftext|", "x<|endoftext|>\u0301 é<|endoftext|>É", "<| a|> it's 'S 's'T don't,'ll ''d", "A" * 5000 + "\u0301" * 3, "ÉCOLE, l'été: 3,14€ Größe-Maß… ×2÷3"]
+    odd = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(800)]
+    for part in (texts[:40], texts[40:], texts[:40], special, odd, special):
         assert [x + b"\1\0\0\0" for x in own.encode(part)] == [token_ids(words_path, t).tobytes() for t in part]
 
 
@@ -212,8 +221,14 @@ def test_topk_against_all_scores(spark):
         if i % 50 == 0 or i >= 1000:
             best = sorted(((-int(v @ w), j) for j, w in valid if j != i and len(w) == len(v)))[:5]
             expect += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
-    found = topk.top_k(df.where("vec_id % 50 = 0 OR vec_id >= 1000"), df, 5, block_rows=64)
-    assert sorted(map(tuple, found.collect())) == sorted(expect)
+    asked = df.where("vec_id % 50 = 0 OR vec_id >= 1000")
+    for send_bytes in (1 << 26, 0):  # queries broadcast, queries shuffled
+        found = topk.top_k(asked, df, 5, block_rows=64, block_bytes=1 << 12, send_bytes=send_bytes)
+        assert sorted(map(tuple, found.collect())) == sorted(expect)
+    again = df.where("vec_id IN (7, 50)")  # repeated candidates and a repeated query count each
+    twice = topk.top_k(asked.where("vec_id = 50").union(again.where("vec_id = 50")), again.union(again), 5).collect()
+    score = int(valid[50][1] @ valid[7][1])
+    assert sorted(map(tuple, twice)) == sorted(2 * [(50, 1, 7, score), (50, 2, 7, score)])
     assert topk.top_k(df.where("false"), df).count() == 0
 
 
@@ -493,6 +508,31 @@ def test_token_files_round_trip(docs, no_docs, words_path):
     assert seekable.written_and_read(no_docs, words_path).count() == 0
 
 
+def test_token_files_with_floods_of_one_id(spark, words_path):
+    """Null ids and one id that would each fill many files are dealt over several; lost attempts' files go."""
+    rows = [(None, f"null {k}") for k in range(200)] + [(7, f"seven {k}") for k in range(200)] + [(k, f"text {k}") for k in range(8, 108)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = scratch_path(spark, "test-files")
+    store, base = seekable.open_fs(folder)
+    store.create_dir(base, recursive=True)
+    with store.open_output_stream(f"{base}/part-00000001-lost.zst") as out:
+        out.write(b"half a file")
+    files = seekable.write(df, words_path, folder, file_rows=20)
+    known = files.collect()
+    assert len(known) > 20 and max(r.docs for r in known) <= 60 and sum(r.docs for r in known) == 500
+    assert {i.base_name for i in store.get_file_info(pyarrow.fs.FileSelector(base))} == {r.name for r in known}
+    got = sorted(seekable.read(spark, folder, files).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 200 + [7] * 200 + list(range(8, 108))
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == Counter((i, zlib.crc32(token_ids(words_path, t).tobytes())) for i, t in rows)
+
+
+def test_known_units_are_bounded(words_path):
+    own = tokens.WordIds(words_path, limit=1000)
+    for k in range(20):
+        own.ids(pa.array([" ".join(f"u{chr(97 + k)}{chr(97 + n // 676)}{chr(97 + n // 26 % 26)}{chr(97 + n % 26)}" for n in range(3000)), "z" * 100_000]))
+        assert len(own.young) <= 1000 and len(own.old) <= 4100 and max(map(len, own.old)) <= 32
+
+
 # Toxicity
 
 
