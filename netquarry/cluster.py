@@ -33,6 +33,8 @@ def scratch_root(spark: SparkSession) -> str:
     """The folder that all executors share, ``spark.checkpoint.dir``; where that is unset (a local session), a temporary one that
     goes when the process ends."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not root:
         folder = tempfile.mkdtemp(prefix="netquarry-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)

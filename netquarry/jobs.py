@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import ship
+from .models import saved
 from .models.base import INPUTS
+from .models.dga import DgaCascade
+from .models.hoeffding import HoeffdingTree
+from .models.isolation import IsolationForest
 from .models.supervised import BACKENDS, Supervised
 from .operators import thresholds
+from .operators.verdicts import retrain
 from .sources import pcap, tables, wire
 
 
@@ -43,14 +48,34 @@ def fit_thresholds(spark: SparkSession, scored: str, out: str, config: str | Non
     return spark.read.parquet(out)
 
 
-def train(spark: SparkSession, threat_class: str, vectors: str, out: str, backend: str = "boosted") -> bool:
-    """Fits a detector to a Parquet table of labelled vectors and saves it; False, and nothing saved, with too few rows."""
-    from .operators.verdicts import retrain
+def detector(spark: SparkSession, threat_class: str, rows: DataFrame, backend: str = "boosted", gate: float | None = None):
+    """A class's own kind of detector, fitted to labelled rows; None with fewer than 20 usable ones.
 
-    model = retrain(spark.read.parquet(vectors), Supervised(threat_class, backend).fit)
+    C2 and exfiltration learn what is normal, from benign rows alone; DDoS learns online, row by row in order of event_id (or of the
+    first input, without one); names are counted into the Markov gate if benign, and rows without a domain are left out; the others are supervised.
+    """
+    ship(spark)
+    if threat_class in ("c2_beaconing", "exfiltration"):
+        return retrain(rows, IsolationForest(threat_class, contamination=0.05).fit, benign_only=True)
+    if threat_class == "ddos":
+
+        def learned(usable: DataFrame) -> HoeffdingTree:
+            tree = HoeffdingTree()
+            tree.learn_batch(usable, order="event_id" if "event_id" in usable.columns else INPUTS["ddos"][0])
+            return tree
+
+        return retrain(rows.where("label IS NOT NULL"), learned)
+    if threat_class == "dga":
+        return retrain(rows, DgaCascade(gate).fit, need="domain")
+    return retrain(rows, Supervised(threat_class, backend).fit)
+
+
+def train(spark: SparkSession, threat_class: str, vectors: str, out: str, backend: str = "boosted", gate: float | None = None) -> bool:
+    """Fits :func:`detector` to a Parquet table of labelled vectors and saves it; False, and nothing saved, with too few rows."""
+    model = detector(spark, threat_class, spark.read.parquet(vectors), backend, gate)
     if model is None:
         return False
-    model.model.write().overwrite().save(out)
+    saved.save(spark, model, out)
     return True
 
 
@@ -71,6 +96,7 @@ def main(arguments: list[str] | None = None) -> None:
     job.add_argument("--vectors", required=True)
     job.add_argument("--out", required=True)
     job.add_argument("--backend", choices=BACKENDS, default="boosted")
+    job.add_argument("--gate", type=float, help="Markov score from which a name is benign")
     a = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("netquarry").getOrCreate()
     if a.job == "replay":
@@ -78,7 +104,7 @@ def main(arguments: list[str] | None = None) -> None:
     elif a.job == "thresholds":
         fit_thresholds(spark, a.scored, a.out, a.config).show(truncate=False)
     else:
-        print("saved" if train(spark, a.threat_class, a.vectors, a.out, a.backend) else "too few examples")
+        print("saved" if train(spark, a.threat_class, a.vectors, a.out, a.backend, a.gate) else "too few examples")
 
 
 if __name__ == "__main__":

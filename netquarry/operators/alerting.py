@@ -68,17 +68,20 @@ def identity() -> dict[str, Column]:
 
 
 def alerts(results: DataFrame, thresholds: DataFrame, group: str = "group_id", method: str = "noisy_or", strict: bool = True) -> DataFrame:
-    """One alert for each group with a detection; its detections in order of class and model.
+    """One alert for each group with a detection; its detections in order of class and model. Source, destination and flow are those of
+    one row: of those with a source the first with a flow, else a destination, in order of these, class and model.
 
     A group with detections but no source raises while the query runs (``strict``) or is left out.
     """
     found = detections(results, thresholds)
     entry = F.struct("threat_class", F.col("model_name").alias("model"), "confidence", "severity", "raw_score", "calibration_status")
-    who = {k: F.first(c, ignorenulls=True).alias(k) for k, c in identity().items()}
+    known = identity()
+    who = F.struct(known["flow_id"].isNull().alias("a"), known["destination_ip"].isNull().alias("b"), *[c.alias(k) for k, c in known.items()], "threat_class", "model_name")
     made = found.groupBy(group).agg(
-        *who.values(), F.array_sort(F.collect_list(entry)).alias("detections"), overall_severity().alias("overall_severity"),
+        F.min(F.when(known["source_ip"].isNotNull(), who)).alias("who"), F.array_sort(F.collect_list(entry)).alias("detections"), overall_severity().alias("overall_severity"),
         fused(method).alias("overall_score"), F.count("*").alias("threats_detected_count"), F.max("observed_us").alias("observed_us"),
     )
+    made = made.select(group, *[F.col("who")[k].alias(k) for k in known], *[c for c in made.columns if c not in (group, "who")])
     unknown = F.raise_error(F.concat(F.lit("no source for group "), F.col(group).cast("string"))).cast("string")
     made = made.withColumn("source_ip", F.coalesce("source_ip", unknown)) if strict else made.where("source_ip IS NOT NULL")
     return made.withColumns({"alert_id": F.concat(F.lit("ALT-"), stable_id(F.col(group), F.to_json("detections"))), "overall_score_method": F.lit(method)})

@@ -13,20 +13,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def lru(packets: DataFrame, capacity: int, shard: str) -> DataFrame:
-    """For each shard: entries left, evictions, and the packets that the surviving entries counted since they were (re)made."""
+def lru(packets: DataFrame, capacity: int, shard: str, key: str = "src_ip") -> DataFrame:
+    """For each shard: entries left (by ``key``: sources, or clients of DNS), evictions, and the packets that the surviving entries counted since they were (re)made."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         table: OrderedDict[str, int] = OrderedDict()
         evicted = 0
-        for ip in rows.sort_values(["us", "event_id"]).src_ip:
+        for ip in rows.sort_values(["us", "event_id"])[key]:
             if ip not in table and len(table) >= capacity:
                 table.popitem(last=False)
                 evicted += 1
             table[ip] = table.pop(ip, 0) + 1
         return pd.DataFrame({"shard": [rows[shard].iloc[0]], "tracked": [len(table)], "evicted": [evicted], "counted": [sum(table.values())]})
 
-    return packets.select(shard, "us", "event_id", "src_ip").groupBy(shard).applyInPandas(run, "shard long, tracked long, evicted long, counted long")
+    return packets.select(shard, "us", "event_id", key).groupBy(shard).applyInPandas(run, "shard long, tracked long, evicted long, counted long")
 
 
 def admission(flows: DataFrame, capacity: int, idle_us: int, shard: str, scan: int = 100) -> DataFrame:

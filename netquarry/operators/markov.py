@@ -23,7 +23,7 @@ def fit(strings: DataFrame, text: str, order: int = 2, earlier: DataFrame | None
 
 
 def score(df: DataFrame, key: str, text: str, model: DataFrame, order: int = 2, smoothing: float = 1.0) -> DataFrame:
-    """key and the mean logarithm of its transitions' smoothed chances; null for an empty string or model."""
+    """key and the mean logarithm of its transitions' smoothed chances; null for an empty string or model. ``model`` is read three times: store it first."""
     alphabet = model.select(F.countDistinct("ch").alias("alphabet"))
     totals = model.groupBy("ctx").agg(F.sum("n").alias("ctx_n"))
     steps = transitions(df.select(key, text), text, order).groupBy(key, "ctx", "ch").agg(F.count("*").alias("times"))

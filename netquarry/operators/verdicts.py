@@ -41,7 +41,7 @@ def sample_random(results: DataFrame, rate: float, key: Column, seed: int = 0) -
     """Exactly min(round(n x rate), n) rows without replacement, round half to even; the same rows for a seed."""
     n = results.count()
     take = max(0, min(round(n * rate), n))
-    return results.orderBy(F.xxhash64(F.lit(seed), key), key).limit(take).withColumn("sample_reason", F.lit("random"))
+    return results.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), key).limit(take).withColumn("sample_reason", F.lit("random"))
 
 
 def sample_boundary(results: DataFrame, threshold: float, top_n: int, order: str) -> DataFrame:

@@ -137,3 +137,23 @@ def routes(vectors: DataFrame) -> DataFrame:
         .otherwise(F.array(F.lit("pending")))
     )
     return vectors.withColumn("route", F.explode(names))
+
+
+def opportunistic(packets: DataFrame, width_us: int) -> DataFrame:
+    """(src_ip, us, dst_port, packet_size, fired_us): each packet with the begin of its window, where a source's window begins at its first
+    packet after the last one ended. Sequential for a source by nature: its packets are sorted externally and folded as they stream by."""
+
+    def run(batches):
+        import pandas as pd
+
+        source, fired = None, 0
+        for batch in batches:
+            out = []
+            for ip, us in zip(batch.src_ip, batch.us, strict=True):
+                if ip != source or us - fired >= width_us:
+                    source, fired = ip, us
+                out.append(fired)
+            yield batch.assign(fired_us=pd.Series(out, index=batch.index, dtype="int64"))
+
+    rows = packets.select("src_ip", "us", "dst_port", "packet_size").repartition("src_ip").sortWithinPartitions("src_ip", "us")
+    return rows.mapInPandas(run, "src_ip string, us long, dst_port int, packet_size int, fired_us long")

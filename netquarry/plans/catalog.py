@@ -119,9 +119,16 @@ def coerce_numeric(spark, d):
 OBJECTIVES_SQL = "VALUES ('ddos', 'f_beta', 2.0::DOUBLE, NULL::DOUBLE), ('c2_beaconing', 'f_beta_or_min_precision', 2.0, 0.9), ('dga', 'min_precision', NULL, 0.9), ('encrypted_malware', 'f_beta', 2.0, NULL), ('port_scanning', 'min_precision', NULL, 0.95), ('exfiltration', 'f1', NULL, NULL)"
 
 
-@query(f"SELECT * FROM ({OBJECTIVES_SQL}) t(threat_class, objective, beta, min_precision)")
+@query(f"SELECT *, 0.5::DOUBLE AS high_threshold, NULL::DOUBLE AS medium_threshold FROM ({OBJECTIVES_SQL}) t(threat_class, objective, beta, min_precision)")
 def cfg_thresholds(spark, d):
-    return thresholds.objectives(spark)
+    """Writes the objectives as a YAML file, then reads them as configuration."""
+    lines = ["classes:"]
+    for r in thresholds.objectives(spark).collect():  # six
+        lines += [f"  {r.threat_class}:", f"    objective: {r.objective}", "    high_threshold: 0.5"]
+        lines += [f"    {name}: {r[name]}" for name in ("beta", "min_precision") if r[name] is not None]
+    folder = scratch_path(spark, "config")
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(f"{folder}/thresholds.yaml")
+    return tables.config(spark, folder)["thresholds"].select("threat_class", "objective", "beta", "min_precision", "high_threshold", "medium_threshold")
 
 
 def _hello_columns(*names):
@@ -200,10 +207,15 @@ def shannon_entropy(spark, d):
     return rounded(counts.select("src_ip", text.entropy_of_counts(F.col("counts")).alias("entropy")), "entropy")
 
 
-@query(f"WITH {views.DNS} SELECT event_id, CASE rcode WHEN 0 THEN 'NOERROR' WHEN 3 THEN 'NXDOMAIN' WHEN 2 THEN 'SERVFAIL' ELSE 'OTHER' END AS rcode_name, CASE rcode WHEN 2 THEN 'NS' ELSE 'OTHER' END AS qtype_name, rcode = 3 AS is_nxdomain FROM dns")
+@query(f"""WITH {views.PACKETS}, c AS (SELECT event_id, k % 8 AS rcode, [1, 2, 5, 6, 12, 15, 16, 28, 33, 255, 65, 0][k % 12 + 1] AS qtype FROM packets)
+SELECT event_id, coalesce(['NOERROR', 'FORMERR', 'SERVFAIL', 'NXDOMAIN', 'NOTIMP', 'REFUSED'][rcode + 1], 'OTHER') AS rcode_name,
+       CASE qtype WHEN 1 THEN 'A' WHEN 2 THEN 'NS' WHEN 5 THEN 'CNAME' WHEN 6 THEN 'SOA' WHEN 12 THEN 'PTR' WHEN 15 THEN 'MX' WHEN 16 THEN 'TXT' WHEN 28 THEN 'AAAA' WHEN 33 THEN 'SRV' WHEN 255 THEN 'ANY' ELSE 'OTHER' END AS qtype_name,
+       rcode = 3 AS is_nxdomain FROM c""")
 def dns_code_names(spark, d):
-    name = network.rcode_name(F.col("rcode"))
-    return views.dns(spark, d).select("event_id", name.alias("rcode_name"), network.qtype_name(F.col("rcode")).alias("qtype_name"), (name == "NXDOMAIN").alias("is_nxdomain"))
+    k = F.col("k")
+    name = network.rcode_name(k % 8)
+    qtype = F.element_at(F.array(*map(F.lit, (1, 2, 5, 6, 12, 15, 16, 28, 33, 255, 65, 0))), k % 12 + 1)
+    return views.packets(spark, d).select("event_id", name.alias("rcode_name"), network.qtype_name(qtype).alias("qtype_name"), (name == "NXDOMAIN").alias("is_nxdomain"))
 
 
 @query(f"WITH {views.DNS} SELECT event_id, CAST(list_min(ttls) AS INTEGER) AS ttl FROM dns")
@@ -368,10 +380,28 @@ def src_window_vector(spark, d):
     return rounded(windows.source_vector(views.packets(spark, d), DAY), "dest_port_entropy", "syn_ratio", "protocol_entropy")
 
 
-@query(f"WITH {views.PACKETS} SELECT user_shard AS shard, least(count(DISTINCT src_ip), 20) AS tracked FROM (SELECT src_ip, us // {5 * DAY} AS user_shard FROM packets) GROUP BY 1")
+def _lru_sql(rows: str) -> str:
+    """The policy packet by packet: a list of entries, the least recently used first, for each shard of (shard, ip, r)."""
+    return f"""o AS ({rows}), st AS (
+    SELECT shard, r, [{{'ip': ip, 'n': 1}}] AS t, 0 AS evicted FROM o WHERE r = 1
+    UNION ALL
+    SELECT shard, r, list_append(CASE WHEN len(own) > 0 THEN list_filter(t, lambda x: x.ip <> ip) WHEN len(t) >= 20 THEN t[2:] ELSE t END, {{'ip': ip, 'n': coalesce(own[1].n, 0) + 1}}),
+           evicted + CASE WHEN len(own) = 0 AND len(t) >= 20 THEN 1 ELSE 0 END
+    FROM (SELECT o.shard, o.r, o.ip, st.t, st.evicted, list_filter(st.t, lambda x: x.ip = o.ip) AS own FROM st JOIN o ON o.shard = st.shard AND o.r = st.r + 1)
+) SELECT shard, CAST(len(t) AS BIGINT) AS tracked, CAST(evicted AS BIGINT) AS evicted, CAST(list_sum(list_transform(t, lambda x: x.n)) AS BIGINT) AS counted FROM st QUALIFY row_number() OVER (PARTITION BY shard ORDER BY r DESC) = 1"""
+
+
+@query(f"WITH RECURSIVE {views.PACKETS}, {_lru_sql(f'SELECT us // {5 * DAY} AS shard, src_ip AS ip, row_number() OVER (PARTITION BY us // {5 * DAY} ORDER BY us, event_id) AS r FROM packets')}")
 def lru_eviction(spark, d):
     p = views.packets(spark, d).withColumn("shard", F.expr(f"us div {5 * DAY}"))
-    return capacity.lru(p, 20, "shard").select("shard", "tracked")
+    return capacity.lru(p, 20, "shard")
+
+
+@query(f"WITH RECURSIVE {views.DNS}, {_lru_sql(f'SELECT us // {5 * DAY} AS shard, client_ip AS ip, row_number() OVER (PARTITION BY us // {5 * DAY} ORDER BY us, event_id) AS r FROM dns')}")
+def dns_lru_eviction(spark, d):
+    """The same cap over DNS clients."""
+    messages = windows.dns_client(views.dns(spark, d)).withColumn("shard", F.expr(f"us div {5 * DAY}"))
+    return capacity.lru(messages, 20, "shard", "client_ip")
 
 
 # DNS windows
@@ -505,10 +535,19 @@ def flow_timeout_emit(spark, d):
     return flows.timeouts(p, LIMITS, F.lit(last)).select(*flows.KEY, "seg", "packet_count", "expires_us", "emission_reason")
 
 
-@query(f"WITH {CANON} SELECT us // {5 * DAY} AS shard, least(count(DISTINCT ({KEY_SQL})), 200) AS tracked FROM ck GROUP BY 1")
+@query(f"""WITH RECURSIVE {CANON}, o AS (SELECT us // {5 * DAY} AS shard, us, a_ip || ':' || a_port || '-' || b_ip || ':' || b_port || '-' || protocol AS flow, row_number() OVER (PARTITION BY us // {5 * DAY} ORDER BY us, event_id) AS r FROM ck),
+st AS (
+    SELECT shard, r, [{{'f': flow, 'us': us}}] AS t, 0 AS evicted, 0 AS degraded FROM o WHERE r = 1
+    UNION ALL
+    SELECT shard, r, CASE WHEN known THEN list_append(list_filter(t, lambda x: x.f <> flow), {{'f': flow, 'us': now}}) WHEN len(t) < 40 THEN list_append(t, {{'f': flow, 'us': now}})
+                          WHEN idle IS NOT NULL THEN list_append(list_filter(t, lambda x: x.f <> idle), {{'f': flow, 'us': now}}) ELSE t END,
+           evicted + CASE WHEN NOT known AND len(t) >= 40 AND idle IS NOT NULL THEN 1 ELSE 0 END, degraded + CASE WHEN NOT known AND len(t) >= 40 AND idle IS NULL THEN 1 ELSE 0 END
+    FROM (SELECT o.shard, o.r, o.flow, o.us AS now, st.t, st.evicted, st.degraded, len(list_filter(st.t, lambda x: x.f = o.flow)) > 0 AS known, list_filter(st.t[1:30], lambda x: o.us - x.us > {DAY})[1].f AS idle
+          FROM st JOIN o ON o.shard = st.shard AND o.r = st.r + 1)
+) SELECT shard, CAST(len(t) AS BIGINT) AS tracked, CAST(evicted AS BIGINT) AS evicted, CAST(degraded AS BIGINT) AS degraded FROM st QUALIFY row_number() OVER (PARTITION BY shard ORDER BY r DESC) = 1""")
 def capacity_policy(spark, d):
     rows = flows.canonical(views.packets(spark, d)).withColumns({"shard": F.expr(f"us div {5 * DAY}"), "flow": network.flow_id(*[F.col(c) for c in flows.KEY])})
-    return capacity.admission(rows, 200, DAY, "shard").select("shard", "tracked")
+    return capacity.admission(rows, 40, DAY, "shard", scan=30)
 
 
 # Statistics
@@ -544,12 +583,12 @@ ms AS (SELECT id, avg(ln((coalesce(n, 0) + 1.0) / (coalesce(ctx_n, 0) + 1.0 * (S
 
 def _markov(spark, d) -> tuple[DataFrame, DataFrame]:
     rows = _labels(spark, d)
-    return rows, markov.fit(rows.where("label = 0"), "s")
+    return rows, _stored(spark, markov.fit(rows.where("label = 0"), "s"))
 
 
 @query(f"{MARKOV} SELECT ctx, ch, n FROM model")
 def markov_fit(spark, d):
-    return _markov(spark, d)[1]
+    return markov.fit(_labels(spark, d).where("label = 0"), "s")
 
 
 @query(f"{MARKOV} SELECT id, round(score, 6) AS score FROM ms")
@@ -651,16 +690,25 @@ def canary(spark, d):
     return rounded(thresholds.canary(views.scored(spark, d, 350), views.scored(spark, d), 0.01), "candidate_ap", "incumbent_ap", "improvement")
 
 
-@query()
+#: Isotonic regression by its max-min formula: at each score the largest, over starts up to it, of the smallest mean over ends from it on.
+ISOTONIC = f"""{SC}, pt AS (SELECT threat_class, score, sum(p) OVER w AS p, sum(n) OVER w AS n, p AS own_p, n AS own_n, row_number() OVER w AS r FROM points WINDOW w AS (PARTITION BY threat_class ORDER BY score ROWS UNBOUNDED PRECEDING)),
+mean AS (SELECT a.threat_class, a.r AS i, b.r AS j, (b.p - a.p + a.own_p) / (b.n - a.n + a.own_n) AS m FROM pt a JOIN pt b ON a.threat_class = b.threat_class AND b.r >= a.r),
+low AS (SELECT threat_class, i, j, min(m) OVER (PARTITION BY threat_class, i ORDER BY j DESC ROWS UNBOUNDED PRECEDING) AS m FROM mean),
+iso AS (SELECT pt.threat_class, pt.score, v.y FROM pt JOIN (SELECT threat_class, j, max(m) AS y FROM low GROUP BY ALL) v ON v.threat_class = pt.threat_class AND v.j = pt.r)"""
+
+
+@query(f"{ISOTONIC} SELECT threat_class, round(arg_min(y, score), 6) AS lowest, round(arg_max(y, score), 6) AS highest, count(DISTINCT round(y, 9)) AS levels FROM iso GROUP BY threat_class")
 def isotonic_fit(spark, d):
-    return thresholds.fit_isotonic(views.scored(spark, d)).select("threat_class", F.size("boundaries").alias("points"), F.element_at("predictions", 1).alias("lowest"), F.element_at("predictions", -1).alias("highest"))
+    curves = thresholds.fit_isotonic(views.scored(spark, d))
+    levels = F.size(F.array_distinct(F.transform("predictions", lambda p: F.round(p, 9)))).cast("long")
+    return rounded(curves.select("threat_class", F.element_at("predictions", 1).alias("lowest"), F.element_at("predictions", -1).alias("highest"), levels.alias("levels")), "lowest", "highest")
 
 
-@query()
+@query(f"{ISOTONIC} SELECT doc_id, threat_class, score AS raw_score, round(iso.y, 6) AS calibrated_confidence FROM scored JOIN iso USING (threat_class, score)")
 def calibrate_apply(spark, d):
     rows = views.scored(spark, d)
     curves = thresholds.fit_isotonic(rows)
-    return thresholds.calibrate(rows.withColumnRenamed("score", "raw_score"), curves).select("doc_id", "threat_class", "raw_score", "calibrated_confidence")
+    return rounded(thresholds.calibrate(rows.withColumnRenamed("score", "raw_score"), curves).select("doc_id", "threat_class", "raw_score", "calibrated_confidence"), "calibrated_confidence")
 
 
 # Alerts
@@ -798,10 +846,12 @@ def missed_positive_rate(spark, d):
     return rounded(verdicts.missed_positive_rate(views.verdicts(spark, d)), "missed_positive_rate")
 
 
-@query(f"{SC}, {RESULTS}, {LIMITS_SQL} SELECT CAST(round_even(count(*) * 0.1, 0) AS BIGINT) AS n FROM results LEFT JOIN lim USING (threat_class) WHERE NOT coalesce(coalesce(calibrated_confidence, raw_score) >= high_threshold OR coalesce(calibrated_confidence, raw_score) >= medium_threshold, false)")
+@query(f"""{SC}, {RESULTS}, {LIMITS_SQL}, bt AS (SELECT doc_id, row_number() OVER (ORDER BY md5('0:' || doc_id), doc_id) AS r, count(*) OVER () AS n FROM results LEFT JOIN lim USING (threat_class)
+    WHERE NOT coalesce(coalesce(calibrated_confidence, raw_score) >= high_threshold OR coalesce(calibrated_confidence, raw_score) >= medium_threshold, false))
+SELECT doc_id, 'random' AS sample_reason FROM bt WHERE r <= round_even(n * 0.1, 0)""")
 def sample_random(spark, d):
     below = alerting.below_threshold(_results(spark, d), _limits(spark))
-    return verdicts.sample_random(below, 0.1, F.col("doc_id")).agg(F.count("*").alias("n"))
+    return verdicts.sample_random(below, 0.1, F.col("doc_id")).select("doc_id", "sample_reason")
 
 
 @query(f"{SC}, {RESULTS}, {LIMITS_SQL} SELECT doc_id, 'boundary' AS sample_reason FROM results LEFT JOIN lim USING (threat_class) WHERE NOT coalesce(coalesce(calibrated_confidence, raw_score) >= high_threshold OR coalesce(calibrated_confidence, raw_score) >= medium_threshold, false) ORDER BY abs(coalesce(calibrated_confidence, raw_score) - 0.5), doc_id LIMIT 25")
@@ -833,22 +883,23 @@ def training_skipped(spark, d):
     return lookups.training_skipped(views.verdicts(spark, d), _store(spark, d))
 
 
-GUARD = f"{PAIRS}, lab AS (SELECT threat_class, label FROM pr WHERE label IS NOT NULL)"
+def _guarded(spark, d, benign_only: bool) -> DataFrame:
+    """What each class's retraining got to see: a fit that counts its rows, null where the guard held it back."""
+    pairs = _stored(spark, verdicts.training_pairs(views.verdicts(spark, d)).where("verdict_id % 40 < 3 OR threat_class <> 'dga'"))
+    got = [(c, verdicts.retrain(pairs.where(F.col("threat_class") == c).where(F.lit(c != "ddos") | (F.col("verdict_id") < 60)), lambda usable: usable.count(), benign_only)) for c in verdicts.CLASSES]
+    return spark.createDataFrame(got, "threat_class string, examples long")
 
 
-def _guarded(spark, d, benign_only: bool) -> DataFrame:
-    pairs = verdicts.training_pairs(views.verdicts(spark, d))
-    usable = pairs.where("label = 0") if benign_only else pairs
-    counts = usable.groupBy("threat_class").agg(F.count("*").alias("examples"))
-    return counts.withColumn("enough", F.col("examples") >= verdicts.LEAST_EXAMPLES)
+GUARDED = f"""{PAIRS}, lab AS (SELECT threat_class, label FROM pr WHERE label IS NOT NULL AND (verdict_id % 40 < 3 OR threat_class <> 'dga') AND (threat_class <> 'ddos' OR verdict_id < 60)),
+every AS (SELECT unnest(['ddos', 'c2_beaconing', 'dga', 'encrypted_malware', 'port_scanning', 'exfiltration']) AS threat_class)"""
 
 
-@query(f"{GUARD} SELECT threat_class, count(*) AS examples, count(*) >= 20 AS enough FROM lab GROUP BY threat_class")
+@query(f"{GUARDED} SELECT threat_class, CASE WHEN count(label) >= 20 THEN count(label) END AS examples FROM every LEFT JOIN lab USING (threat_class) GROUP BY threat_class")
 def retrain_guard(spark, d):
     return _guarded(spark, d, False)
 
 
-@query(f"{GUARD} SELECT threat_class, count(*) AS examples, count(*) >= 20 AS enough FROM lab WHERE label = 0 GROUP BY threat_class")
+@query(f"{GUARDED} SELECT threat_class, CASE WHEN count(label) >= 20 THEN count(label) END AS examples FROM every LEFT JOIN (SELECT * FROM lab WHERE label = 0) USING (threat_class) GROUP BY threat_class")
 def retrain_benign_only(spark, d):
     return _guarded(spark, d, True)
 
@@ -931,33 +982,55 @@ def score_tls(spark, d):
 # Parsers of payloads made of the derived messages
 
 
-@query(f"WITH {views.DNS} SELECT event_id, CAST(event_id % 65536 AS INTEGER) AS transaction_id, is_response, rcode, q.qname AS qname, q.qtype AS qtype FROM (SELECT *, questions[1] AS q FROM dns) WHERE q.qtype <> 'OTHER'")
+#: A code of no known type stands for the type OTHER.
+OTHER_TYPE = 65
+
+
+@query(f"""WITH {views.DNS}, m AS (SELECT *, questions[1].qname AS owner FROM dns) SELECT event_id, CAST(event_id % 65536 AS INTEGER) AS transaction_id, is_response, rcode,
+    array_to_string(list_transform(questions, lambda q: q.qname || '/' || q.qtype), ' ') AS questions,
+    CASE WHEN len(ttls) = 0 THEN '' ELSE owner || '/A/' || ttls[1] || '/10.1.' || k % 256 || '.7 ' || owner || '/CNAME/' || ttls[2] || '/alias.' || owner END AS answers FROM m JOIN (SELECT event_id, k FROM packets) USING (event_id)""")
 def parse_dns(spark, d):
-    """Messages encoded byte by byte from the first question, then parsed."""
+    """Messages encoded byte by byte, with all questions, and two answers (an address; an alias with a compressed name), then parsed."""
     ship(spark)
-    codes = F.create_map(*[F.lit(x) for code, name in network.QTYPES.items() for x in (name, code)])
+    codes = F.create_map(*[F.lit(x) for code, name in [*network.QTYPES.items(), (OTHER_TYPE, "OTHER")] for x in (name, code)])
     h = lambda c, n: F.lpad(F.hex(c.cast("int")), n, "0")
-    labels = F.transform(F.split("q.qname", r"\."), lambda x: F.concat(h(F.length(x), 2), F.hex(x)))
-    rows = views.dns(spark, d).withColumn("q", F.col("questions")[0]).where("q.qtype <> 'OTHER'")
-    head = F.concat(h(F.col("event_id") % 65536, 4), h(F.when(F.col("is_response"), 0x8000).otherwise(0) + F.col("rcode"), 4), F.lit("0001000000000000"))
-    raw = F.unhex(F.concat(head, F.array_join(labels, ""), F.lit("00"), h(F.element_at(codes, F.col("q.qtype")), 4), F.lit("0001")))
-    parsed = rows.select("event_id", wire.parse_dns(raw).alias("m"))
-    return parsed.select("event_id", "m.transaction_id", "m.is_response", "m.rcode", F.col("m.questions")[0]["qname"].alias("qname"), F.col("m.questions")[0]["qtype"].alias("qtype"))
-
-
-@query(f"{HELLO} SELECT k, legacy AS legacy_version, array_to_string(ciphers, '-') AS ciphers, array_to_string(groups, '-') AS groups FROM hellos")
+    name = lambda c: F.concat(F.array_join(F.transform(F.split(c, r"\."), lambda x: F.concat(h(F.length(x), 2), F.hex(x))), ""), F.lit("00"))
+    question = lambda q: F.concat(name(q["qname"]), h(F.element_at(codes, q["qtype"]), 4), F.lit("0001"))
+    rows = views.dns(spark, d).join(views.packets(spark, d).select("event_id", "k"), "event_id")
+    ttl = lambda i: h(F.get("answers", F.lit(i))["ttl"], 8)
+    address = F.concat(F.lit("C00C00010001"), ttl(0), F.lit("00040A01"), h(F.col("k") % 256, 2), F.lit("07"))
+    alias = F.concat(F.lit("C00C00050001"), ttl(1), F.lit("000805"), F.hex(F.lit("alias")), F.lit("C00C"))  # 0xC00C points at the first question
+    flags = F.when(F.col("is_response"), 0x8000).otherwise(0) + F.col("rcode")
+    answers = F.when(F.size("answers") > 0, F.concat(address, alias)).otherwise("")
+    raw = F.unhex(F.concat(h(F.col("event_id") % 65536, 4), h(flags, 4), h(F.size("questions"), 4), h(F.size("answers"), 4), F.lit("00000000"), F.array_join(F.transform("questions", question), ""), answers))
+    m = rows.select("event_id", wire.parse_dns(raw).alias("m"))
+    shown = F.array_join(F.transform("m.questions", lambda q: F.concat_ws("/", q["qname"], q["qtype"])), " ")
+    found = F.array_join(F.transform("m.answers", lambda a: F.concat_ws("/", a["rrname"], a["rtype"], a["ttl"].cast("string"), a["rdata"])), " ")
+    return m.select("event_id", "m.transaction_id", "m.is_response", "m.rcode", shown.alias("questions"), found.alias("answers"))
+
+
+@query(f"""{HELLO} SELECT k, legacy AS legacy_version, array_to_string(ciphers, '-') AS ciphers, CASE WHEN coalesce(sni, '') <> '' THEN '0-' ELSE '' END || '10-11-13-43' || CASE WHEN alpn IS NULL THEN '' ELSE '-16' END AS extensions,
+    array_to_string(groups, '-') AS groups, array_to_string(formats, '-') AS formats, array_to_string(signatures, '-') AS signatures, array_to_string(supported, '-') AS supported,
+    CASE WHEN coalesce(sni, '') <> '' THEN sni END AS sni, CASE WHEN alpn IS NULL THEN '' ELSE alpn || '-6833' END AS alpn FROM h""")
 def parse_tls(spark, d):
-    """ClientHellos encoded with ciphers and groups, then parsed."""
+    """ClientHellos encoded with ciphers and every kind of extension that is read, then parsed."""
     ship(spark)
     h = lambda c, n: F.lpad(F.hex(c.cast("int")), n, "0")
-    codes = lambda c: F.array_join(F.transform(c, lambda x: h(x, 4)), "")
-    groups = F.concat(h(F.size("groups") * 2, 4), codes(F.col("groups")))
-    extension = F.concat(F.lit("000A"), h(F.length(groups) / 2, 4), groups)
-    body = F.concat(h(F.col("legacy"), 4), F.lit("00" * 33), h(F.size("ciphers") * 2, 4), codes(F.col("ciphers")), F.lit("0100"), h(F.length(extension) / 2, 4), extension)
+    codes = lambda c, n=4: F.array_join(F.transform(c, lambda x: h(x, n)), "")
+    sized = lambda c, n: F.concat(h(F.length(c) / 2, n), c)
+    extension = lambda kind, body: F.concat(F.lit(kind), sized(body, 4))
+    named = F.coalesce("sni", F.lit("")) != ""
+    protocols = F.array_join(F.transform("alpn", lambda x: sized(F.hex(x), 2)), "")
+    extensions = F.concat(
+        F.when(named, extension("0000", sized(F.concat(F.lit("00"), sized(F.hex("sni"), 4)), 4))).otherwise(""), extension("000A", sized(codes(F.col("groups")), 4)), extension("000B", sized(codes(F.col("formats"), 2), 2)),
+        extension("000D", sized(codes(F.col("signatures")), 4)), extension("002B", sized(codes(F.col("supported")), 2)), F.when(F.size("alpn") > 0, extension("0010", sized(protocols, 4))).otherwise(""),
+    )
+    body = F.concat(h(F.col("legacy"), 4), F.lit("00" * 33), sized(codes(F.col("ciphers")), 4), F.lit("0100"), sized(extensions, 4))
     raw = F.unhex(F.concat(F.lit("160301"), h(F.length(body) / 2 + 4, 4), F.lit("01"), h(F.length(body) / 2, 6), body))
-    parsed = views.hellos(spark, d).select("k", wire.parse_client_hello(raw).alias("m"))
+    m = views.hellos(spark, d).select("k", wire.parse_client_hello(raw).alias("m"))
     text_of = lambda c: F.array_join(F.col(f"m.{c}").cast("array<string>"), "-")
-    return parsed.select("k", "m.legacy_version", text_of("ciphers").alias("ciphers"), text_of("supported_groups").alias("groups"))
+    shown = {"ciphers": "ciphers", "extensions": "extensions", "supported_groups": "groups", "ec_point_formats": "formats", "signature_algorithms": "signatures", "supported_versions": "supported"}
+    return m.select("k", "m.legacy_version", *[text_of(c).alias(n) for c, n in shown.items()], "m.sni", F.array_join(F.transform("m.alpn_protocols", lambda x: F.lower(F.hex(x))), "-").alias("alpn"))
 
 
 # Streams, run to the end of what is there
@@ -1007,11 +1080,12 @@ def late_drop(spark, d):
     return p.withColumn("late", F.coalesce(F.col("us") < seen - DAY, F.lit(False))).groupBy(windows.window_start(F.col("us"), DAY).alias("win")).agg(F.sum(F.col("late").cast("long")).alias("late"), F.count("*").alias("packets"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {views.PACKETS}, f AS (SELECT src_ip, min(us) AS fired_us FROM packets GROUP BY src_ip UNION ALL
+    SELECT src_ip, fired_us FROM (SELECT f.src_ip, min(p.us) AS fired_us FROM f JOIN packets p ON p.src_ip = f.src_ip AND p.us >= f.fired_us + {DAY} GROUP BY f.src_ip))
+SELECT f.src_ip, fired_us, count(*) AS packet_count, CAST(sum(packet_size) AS BIGINT) AS byte_count, count(DISTINCT dst_port) AS unique_dest_ports_est
+FROM f JOIN packets p ON p.src_ip = f.src_ip AND p.us >= fired_us AND p.us < fired_us + {DAY} GROUP BY f.src_ip, fired_us""")
 def scheduler_replay(spark, d):
-    """Windows that begin at the first packet after the last one ended, not at the epoch, for each source; one fold per source."""
-    p = views.packets(spark, d)
-    trace = F.array_sort(F.collect_list("us"))
-    step = lambda s, us: F.when((F.size(s) == 0) | (us - F.element_at(s, -1) >= DAY), F.concat(s, F.array(us))).otherwise(s)
-    fired = F.aggregate(trace, F.array().cast("array<bigint>"), step)
-    return p.groupBy("src_ip").agg(fired.alias("fired")).select("src_ip", F.explode("fired").alias("fired_us"))
+    """Windows that begin at the first packet after the last one ended, not at the epoch, for each source, and what they hold."""
+    ship(spark)
+    fired = windows.opportunistic(views.packets(spark, d), DAY)
+    return fired.groupBy("src_ip", "fired_us").agg(F.count("*").alias("packet_count"), F.sum(F.col("packet_size").cast("long")).alias("byte_count"), F.countDistinct("dst_port").alias("unique_dest_ports_est"))

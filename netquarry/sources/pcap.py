@@ -62,19 +62,24 @@ class PcapReader(DataSourceReader):
 
 
 class PcapStream(DataSourceStreamReader):
-    """New files of a folder, whose names follow their order in time; executors read them, a file to a task."""
+    """New files of a folder, in whatever order they arrive; executors read them, a file to a task.
+
+    An offset is the list of the files there are, so one that comes late under an earlier name is read once, and none twice. Files that
+    were read may be moved away; the folder's size bounds an offset's.
+    """
 
     def __init__(self, options: dict):
         self.reader = PcapReader(options)
 
     def initialOffset(self) -> dict:
-        return {"files": 0}
+        return {"files": []}
 
     def latestOffset(self) -> dict:
-        return {"files": len(files(self.reader.path))}
+        return {"files": files(self.reader.path)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [InputPartition(p) for p in files(self.reader.path)[start["files"] : end["files"]]]
+        seen = set(start["files"])
+        return [InputPartition(p) for p in end["files"] if p not in seen]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         return self.reader.read(partition)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,17 +67,23 @@ def export_intel(entries: DataFrame, path: str, rows_per_file: int = 100_000) ->
 
 
 def config(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """thresholds and sla tables from a folder's YAML files; a missing file is skipped."""
+    """thresholds and sla tables from a folder's YAML files, on any store that Spark reads; a missing file is skipped."""
     import yaml
 
+    def read(name: str) -> dict | None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return None
+        return yaml.safe_load(spark.read.text(str(path), wholetext=True).first()[0])
+
     found = {}
-    if (p := Path(folder, "thresholds.yaml")).exists():
-        classes = yaml.safe_load(p.read_text())["classes"]
+    if loaded := read("thresholds.yaml"):
+        classes = loaded["classes"]
         rows = [(c, x.get("objective", "f_beta"), x.get("beta"), x.get("min_precision")) for c, x in classes.items()]
         limits = spark.createDataFrame([(c, x.get("high_threshold"), x.get("medium_threshold")) for c, x in classes.items()], "threat_class string, high_threshold double, medium_threshold double")
         found["thresholds"] = objectives(spark, rows).join(limits, "threat_class")
-    if (p := Path(folder, "sla_matrix.yaml")).exists():
-        levels = yaml.safe_load(p.read_text())["severities"]
+    if loaded := read("sla_matrix.yaml"):
+        levels = loaded["severities"]
         rows = [(s, x.get("response_sla_minutes"), x.get("resolution_sla_minutes"), x.get("primary_owner"), x.get("escalates_to")) for s, x in levels.items()]
         found["sla"] = spark.createDataFrame(rows, "severity string, response_sla_minutes long, resolution_sla_minutes long, primary_owner string, escalates_to string")
     return found

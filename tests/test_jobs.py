@@ -6,8 +6,12 @@ from test_decisions import results
 from test_sources import ip, tcp
 
 from netquarry import jobs
+from netquarry.models import saved
 from netquarry.models.base import INPUTS
+from netquarry.models.dga import DgaCascade
 from netquarry.models.hoeffding import HoeffdingTree
+from netquarry.models.isolation import IsolationForest
+from netquarry.models.supervised import Supervised
 from netquarry.operators import alerting
 from netquarry.sources import pcap
 from netquarry.streaming import sinks
@@ -37,6 +41,35 @@ def test_threshold_and_training_jobs(spark, tmp_path):
     assert not jobs.train(spark, "port_scanning", str(tmp_path / "few"), str(tmp_path / "none")) and not (tmp_path / "none").exists()
 
 
+@pytest.mark.parametrize("threat", sorted(INPUTS))
+def test_each_class_trains_its_own_detector(spark, tmp_path, threat):
+    """Saved, loaded and scoring as before; and held back by the floor of examples, which counts benign rows where only those are learned."""
+    rng = np.random.default_rng(3)
+    if threat == "dga":
+        made = [(i, "".join(rng.choice(list("xqzjkv0123456789"), 12)) + ".net" if i % 2 else f"{rng.choice(['mail', 'news', 'shop', 'data'])}{rng.choice(['home', 'land', 'line'])}.com", i % 2) for i in range(60)]
+        rows = spark.createDataFrame([*made, (99, None, 1)], "id long, domain string, label int")
+    else:
+        names = ", ".join(f"{c} double" for c in INPUTS[threat])
+        rows = spark.createDataFrame([(*map(float, rng.normal(5 + 40 * (i % 3 == 0), 1, len(INPUTS[threat]))), int(i % 3 == 0), i) for i in range(90)], f"{names}, label int, event_id long")
+    rows.write.parquet(str(tmp_path / "in"))
+    kinds = {"ddos": HoeffdingTree, "c2_beaconing": IsolationForest, "exfiltration": IsolationForest, "dga": DgaCascade}
+    model = jobs.detector(spark, threat, rows)
+    assert type(model) is kinds.get(threat, Supervised)
+    assert jobs.train(spark, threat, str(tmp_path / "in"), str(tmp_path / "model"))
+    again = saved.load(spark, str(tmp_path / "model"))
+    key = "id" if threat == "dga" else "event_id"
+    before, after = ({r[key]: r.raw_score for r in m.score(rows.where("domain IS NOT NULL") if threat == "dga" else rows).collect()} for m in (model, again))
+    assert before == pytest.approx(after)
+    bad, good = ([before[r[key]] for r in rows.where(f"label = {y}").collect() if r[key] in before] for y in (1, 0))
+    assert np.mean(bad) > np.mean(good)
+    if threat in ("c2_beaconing", "exfiltration"):
+        few = rows.where("label = 1").unionByName(rows.where("label = 0").limit(19))
+    else:
+        few = rows.where("id < 19 OR domain IS NULL") if threat == "dga" else rows.limit(19)
+    few.write.parquet(str(tmp_path / "few"))
+    assert not jobs.train(spark, threat, str(tmp_path / "few"), str(tmp_path / "none")) and not (tmp_path / "none").exists()
+
+
 def test_online_learning_from_a_stream(spark, tmp_path):
     rng = np.random.default_rng(0)
     names = ", ".join(f"{c} double" for c in INPUTS["ddos"])

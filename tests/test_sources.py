@@ -128,6 +128,23 @@ def test_capture_stream(spark, captures, tmp_path):
     assert spark.read.schema(pcap.SCHEMA).parquet(str(tmp_path / "out")).count() == 15
 
 
+def test_a_capture_that_comes_late_is_read_once(spark, tmp_path):
+    """Under a name before those already read, and after a restart."""
+    pcap.register(spark)
+    (tmp_path / "in").mkdir()
+
+    def put(name, n):
+        with open(tmp_path / "in" / name, "wb") as f:
+            f.writelines(pcap.file_bytes([(i, ip(tcp(), 6)) for i in range(n)]))
+
+    for name, n, total in (("b.pcap", 3, 3), ("a.pcap", 2, 5), ("c.pcap", 1, 6)):
+        put(name, n)
+        query = spark.readStream.format("pcap").load(str(tmp_path / "in")).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "progress")).start()
+        query.processAllAvailable()
+        query.stop()
+        assert spark.read.schema(pcap.SCHEMA).parquet(str(tmp_path / "out")).count() == total
+
+
 def test_flow_csv(spark, tmp_path):
     path = tmp_path / "f.csv"
     path.write_text(" Flow Duration, Destination Port,Flow Bytes/s, Label\n12,443,Infinity,BENIGN\nx,53,1.5,DDoS\n")
