@@ -1,7 +1,7 @@
 """From scored detections to multi-label alerts, a review queue and exports.
 
 Results: group_id, threat_class, model_name, raw_score, calibrated_confidence, ja4_known_bad, and the context's source_ip,
-src_ip, dst_ip and flow fields.
+src_ip, dst_ip and flow fields; and, if they have any, evidence (a map of names to values), which alerts carry along as JSON.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ def alerts(results: DataFrame, thresholds: DataFrame, group: str = "group_id", m
     A group with detections but no source raises while the query runs (``strict``) or is left out.
     """
     found = detections(results, thresholds)
-    entry = F.struct("threat_class", F.col("model_name").alias("model"), "confidence", "severity", "raw_score", "calibration_status")
+    entry = F.struct("threat_class", F.col("model_name").alias("model"), "confidence", "severity", "raw_score", "calibration_status", *[F.to_json("evidence").alias("evidence")] * ("evidence" in results.columns))
     known = identity()
     who = F.struct(known["flow_id"].isNull().alias("a"), known["destination_ip"].isNull().alias("b"), *[c.alias(k) for k, c in known.items()], "threat_class", "model_name")
     made = found.groupBy(group).agg(
@@ -88,7 +88,9 @@ def alerts(results: DataFrame, thresholds: DataFrame, group: str = "group_id", m
 
 
 def as_json(made: DataFrame) -> DataFrame:
-    return made.select("alert_id", F.to_json(F.struct(*made.columns)).alias("json"))
+    """An object for each alert; its fused score has six digits, as the order of a product's factors decides the last ones."""
+    shown = made.withColumn("overall_score", F.round("overall_score", 6))
+    return shown.select("alert_id", F.to_json(F.struct(*made.columns)).alias("json"))
 
 
 def as_cef(made: DataFrame) -> DataFrame:

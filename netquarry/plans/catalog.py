@@ -776,12 +776,20 @@ def alert_groups(spark, d):
     return rounded(alerting.alerts(_results(spark, d), _limits(spark)).select("group_id", "source_ip", "flow_id", "overall_severity", "overall_score", "threats_detected_count"), "overall_score")
 
 
-@query()
+EXPORTED = f"""{GROUPED}, entry AS (SELECT *, '{{"threat_class":"' || threat_class || '","model":"model","confidence":' || confidence || ',"severity":"' || severity || '","raw_score":' || raw_score
+    || CASE WHEN calibration_status IS NOT NULL THEN ',"calibration_status":"' || calibration_status || '"' ELSE '' END || '}}' AS e FROM det),
+listed AS (SELECT group_id, '[' || string_agg(e, ',' ORDER BY threat_class, confidence, severity, raw_score) || ']' AS detections, string_agg(threat_class, ',' ORDER BY threat_class) AS classes, max(doc_id) * 1000000 AS observed_us FROM entry GROUP BY group_id),
+named AS (SELECT *, 'ALT-' || sha256(group_id || chr(1) || detections)[1:12] AS alert_id FROM al JOIN listed USING (group_id))"""
+
+
+@query(f"""{EXPORTED} SELECT alert_id, '{{"group_id":' || group_id || ',"source_ip":"' || source_ip || '"' || CASE WHEN flow_id IS NOT NULL THEN ',"destination_ip":"10.0.9.9","flow_id":"' || flow_id || '"' ELSE '' END || ',"detections":' || detections
+    || ',"overall_severity":"' || overall_severity || '","overall_score":' || noisy || ',"threats_detected_count":' || threats_detected_count || ',"observed_us":' || observed_us || ',"alert_id":"' || alert_id || '","overall_score_method":"noisy_or"}}' AS json FROM named""")
 def siem_json(spark, d):
     return alerting.as_json(alerting.alerts(_results(spark, d), _limits(spark)))
 
 
-@query()
+@query(f"""{EXPORTED} SELECT alert_id, 'CEF:0|netquarry|netquarry|1|' || classes || '|network threat|' || CASE overall_severity WHEN 'CRITICAL' THEN 10 WHEN 'HIGH' THEN 8 ELSE 6 END || '|src=' || source_ip || ' dst=' || CASE WHEN flow_id IS NOT NULL THEN '10.0.9.9' ELSE '' END
+    || ' externalId=' || alert_id || ' cs1=' || printf('%.6f', noisy) AS line FROM named""")
 def siem_cef(spark, d):
     return alerting.as_cef(alerting.alerts(_results(spark, d), _limits(spark)))
 
@@ -982,6 +990,38 @@ def score_tls(spark, d):
 # Parsers of payloads made of the derived messages
 
 
+def _hex(c: F.Column, n: int) -> F.Column:
+    return F.lpad(F.hex(c.cast("int")), n, "0")
+
+
+def dns_hex() -> F.Column:
+    """The bytes of a derived DNS message (event_id, is_response, rcode, questions, answers, k), in hex digits."""
+    codes = F.create_map(*[F.lit(x) for code, name in [*network.QTYPES.items(), (OTHER_TYPE, "OTHER")] for x in (name, code)])
+    name = lambda c: F.concat(F.array_join(F.transform(F.split(c, r"\."), lambda x: F.concat(_hex(F.length(x), 2), F.hex(x))), ""), F.lit("00"))
+    question = lambda q: F.concat(name(q["qname"]), _hex(F.element_at(codes, q["qtype"]), 4), F.lit("0001"))
+    ttl = lambda i: _hex(F.get("answers", F.lit(i))["ttl"], 8)
+    address = F.concat(F.lit("C00C00010001"), ttl(0), F.lit("00040A01"), _hex(F.col("k") % 256, 2), F.lit("07"))
+    alias = F.concat(F.lit("C00C00050001"), ttl(1), F.lit("000805"), F.hex(F.lit("alias")), F.lit("C00C"))  # 0xC00C points at the first question
+    flags = F.when(F.col("is_response"), 0x8000).otherwise(0) + F.col("rcode")
+    answers = F.when(F.size("answers") > 0, F.concat(address, alias)).otherwise("")
+    return F.concat(_hex(F.col("event_id") % 65536, 4), _hex(flags, 4), _hex(F.size("questions"), 4), _hex(F.size("answers"), 4), F.lit("00000000"), F.array_join(F.transform("questions", question), ""), answers)
+
+
+def hello_hex() -> F.Column:
+    """The bytes of a TLS record with a derived ClientHello, in hex digits."""
+    codes = lambda c, n=4: F.array_join(F.transform(c, lambda x: _hex(x, n)), "")
+    sized = lambda c, n: F.concat(_hex(F.length(c) / 2, n), c)
+    extension = lambda kind, body: F.concat(F.lit(kind), sized(body, 4))
+    named = F.coalesce("sni", F.lit("")) != ""
+    protocols = F.array_join(F.transform("alpn", lambda x: sized(F.hex(x), 2)), "")
+    extensions = F.concat(
+        F.when(named, extension("0000", sized(F.concat(F.lit("00"), sized(F.hex("sni"), 4)), 4))).otherwise(""), extension("000A", sized(codes(F.col("groups")), 4)), extension("000B", sized(codes(F.col("formats"), 2), 2)),
+        extension("000D", sized(codes(F.col("signatures")), 4)), extension("002B", sized(codes(F.col("supported")), 2)), F.when(F.size("alpn") > 0, extension("0010", sized(protocols, 4))).otherwise(""),
+    )
+    body = F.concat(_hex(F.col("legacy"), 4), F.lit("00" * 33), sized(codes(F.col("ciphers")), 4), F.lit("0100"), sized(extensions, 4))
+    return F.concat(F.lit("160301"), _hex(F.length(body) / 2 + 4, 4), F.lit("01"), _hex(F.length(body) / 2, 6), body)
+
+
 #: A code of no known type stands for the type OTHER.
 OTHER_TYPE = 65
 
@@ -992,17 +1032,8 @@ OTHER_TYPE = 65
 def parse_dns(spark, d):
     """Messages encoded byte by byte, with all questions, and two answers (an address; an alias with a compressed name), then parsed."""
     ship(spark)
-    codes = F.create_map(*[F.lit(x) for code, name in [*network.QTYPES.items(), (OTHER_TYPE, "OTHER")] for x in (name, code)])
-    h = lambda c, n: F.lpad(F.hex(c.cast("int")), n, "0")
-    name = lambda c: F.concat(F.array_join(F.transform(F.split(c, r"\."), lambda x: F.concat(h(F.length(x), 2), F.hex(x))), ""), F.lit("00"))
-    question = lambda q: F.concat(name(q["qname"]), h(F.element_at(codes, q["qtype"]), 4), F.lit("0001"))
     rows = views.dns(spark, d).join(views.packets(spark, d).select("event_id", "k"), "event_id")
-    ttl = lambda i: h(F.get("answers", F.lit(i))["ttl"], 8)
-    address = F.concat(F.lit("C00C00010001"), ttl(0), F.lit("00040A01"), h(F.col("k") % 256, 2), F.lit("07"))
-    alias = F.concat(F.lit("C00C00050001"), ttl(1), F.lit("000805"), F.hex(F.lit("alias")), F.lit("C00C"))  # 0xC00C points at the first question
-    flags = F.when(F.col("is_response"), 0x8000).otherwise(0) + F.col("rcode")
-    answers = F.when(F.size("answers") > 0, F.concat(address, alias)).otherwise("")
-    raw = F.unhex(F.concat(h(F.col("event_id") % 65536, 4), h(flags, 4), h(F.size("questions"), 4), h(F.size("answers"), 4), F.lit("00000000"), F.array_join(F.transform("questions", question), ""), answers))
+    raw = F.unhex(dns_hex())
     m = rows.select("event_id", wire.parse_dns(raw).alias("m"))
     shown = F.array_join(F.transform("m.questions", lambda q: F.concat_ws("/", q["qname"], q["qtype"])), " ")
     found = F.array_join(F.transform("m.answers", lambda a: F.concat_ws("/", a["rrname"], a["rtype"], a["ttl"].cast("string"), a["rdata"])), " ")
@@ -1015,18 +1046,7 @@ def parse_dns(spark, d):
 def parse_tls(spark, d):
     """ClientHellos encoded with ciphers and every kind of extension that is read, then parsed."""
     ship(spark)
-    h = lambda c, n: F.lpad(F.hex(c.cast("int")), n, "0")
-    codes = lambda c, n=4: F.array_join(F.transform(c, lambda x: h(x, n)), "")
-    sized = lambda c, n: F.concat(h(F.length(c) / 2, n), c)
-    extension = lambda kind, body: F.concat(F.lit(kind), sized(body, 4))
-    named = F.coalesce("sni", F.lit("")) != ""
-    protocols = F.array_join(F.transform("alpn", lambda x: sized(F.hex(x), 2)), "")
-    extensions = F.concat(
-        F.when(named, extension("0000", sized(F.concat(F.lit("00"), sized(F.hex("sni"), 4)), 4))).otherwise(""), extension("000A", sized(codes(F.col("groups")), 4)), extension("000B", sized(codes(F.col("formats"), 2), 2)),
-        extension("000D", sized(codes(F.col("signatures")), 4)), extension("002B", sized(codes(F.col("supported")), 2)), F.when(F.size("alpn") > 0, extension("0010", sized(protocols, 4))).otherwise(""),
-    )
-    body = F.concat(h(F.col("legacy"), 4), F.lit("00" * 33), sized(codes(F.col("ciphers")), 4), F.lit("0100"), sized(extensions, 4))
-    raw = F.unhex(F.concat(F.lit("160301"), h(F.length(body) / 2 + 4, 4), F.lit("01"), h(F.length(body) / 2, 6), body))
+    raw = F.unhex(hello_hex())
     m = views.hellos(spark, d).select("k", wire.parse_client_hello(raw).alias("m"))
     text_of = lambda c: F.array_join(F.col(f"m.{c}").cast("array<string>"), "-")
     shown = {"ciphers": "ciphers", "extensions": "extensions", "supported_groups": "groups", "ec_point_formats": "formats", "signature_algorithms": "signatures", "supported_versions": "supported"}
@@ -1036,10 +1056,10 @@ def parse_tls(spark, d):
 # Streams, run to the end of what is there
 
 
-def _stream(spark, d) -> DataFrame:
-    """The derived packets as a stream of files with an event time."""
+def _stream(spark, d, rows: DataFrame | None = None) -> DataFrame:
+    """The derived packets, or messages, as a stream of files with an event time."""
     path = scratch_path(spark, "packets")
-    rows = views.packets(spark, d).withColumn("ts", F.timestamp_micros("us"))
+    rows = (views.packets(spark, d) if rows is None else rows).withColumn("ts", F.timestamp_micros("us"))
     rows.repartitionByRange(4, "us").sortWithinPartitions("us").write.parquet(path)
     return spark.readStream.schema(rows.schema).parquet(path)
 
@@ -1061,6 +1081,30 @@ def tumbling_source(spark, d):
     return closed.select(F.unix_micros("w.start").alias("win"), "src_ip", "packet_count", "byte_count", "syn_count")
 
 
+CLOSED = f"win + {DAY} <= (SELECT max(us) FROM packets)"
+
+
+@query(f"{DNS_VECTOR} SELECT win, client_ip, query_count, response_count, nxdomain_count, nxdomain_rate, query_type_entropy, domain_n, domain_mean, domain_variance, ttl_n, ttl_mean, ttl_variance FROM dv WHERE {CLOSED}")
+def tumbling_dns(spark, d):
+    """Daily DNS windows of a stream of messages that the watermark has closed."""
+    from ..streaming.windows import dns_windows
+
+    closed = _finished(spark, dns_windows(_stream(spark, d, views.dns(spark, d)), "1 day", "0 seconds"), "tumbling-dns")
+    rows = closed.withColumn("win", F.unix_micros("w.start")).drop("w", "unique_domains_est")
+    return rounded(rows, "nxdomain_rate", "query_type_entropy", "domain_mean", "domain_variance", "ttl_mean", "ttl_variance")
+
+
+@query(f"""{VECTOR}, {DNS_VECTOR.removeprefix(f'WITH {views.PACKETS}, ')}
+SELECT win, src_ip AS source_ip, CAST(NULL AS VARCHAR) AS client_ip, 'source' AS aggregate_type, 'window' AS emission_reason, packet_count, byte_count, CAST(NULL AS BIGINT) AS query_count, CAST(NULL AS BIGINT) AS response_count FROM vec WHERE {CLOSED}
+UNION ALL SELECT win, NULL, client_ip, 'dns', 'window', NULL, NULL, query_count, response_count FROM dv WHERE {CLOSED}""")
+def emission_stream(spark, d):
+    """Source and DNS vectors that one stream emits together as their windows close."""
+    from ..streaming.windows import emitted
+
+    stream = emitted(_stream(spark, d), _stream(spark, d, views.dns(spark, d)), "1 day", "0 seconds")
+    return _finished(spark, stream, "emitted").withColumn("win", F.unix_micros("w.start")).select(*EMITTED)
+
+
 @query(f"{WIN}, {_group_entropy_sql('protocol')} {SRC} {BITS_SQL} AS entropy FROM tot WHERE win + 2 * {DAY} <= (SELECT max(us) FROM packets) GROUP BY win, src_ip")
 def tumbling_entropy(spark, d):
     """Two chained windows; a day is kept if the day after it has ended too."""
