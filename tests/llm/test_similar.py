@@ -56,14 +56,34 @@ def test_word_changed_copies_go(spark):
     assert corpus_pipeline.drop_copies(spark, df.where(F.lit(False)), "").count() == 0
 
 
-def test_roots_are_exact_within_a_group():
+def test_large_groups_are_compared_in_blocks(spark):
+    """Groups of many blocks: one family around a text, and a chain of families that only some members connect."""
+    rng = random.Random(22)
+    base = [f"b{k}" for k in range(120)]
+    rows = [(i, changed(rng, base, 1 + i % 3)) for i in range(60)]
+    rows += [(100 + i, changed(rng, base, 3 + i % 3)) for i in range(40)]  # pairs among these are mostly below the limit
+    rows += [(200 + i, " ".join([f"d{k}" for k in range(5 * (i % 10), 100 + 5 * (i % 10))] + [f"e{i}"])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    expect = plain_kept(rows)
+    assert 10 < len(expect) < 100
+    for size in (8, 2048):
+        got = similar.keep_first(df, block_rows=size)
+        assert Counter((r.doc_id, r.text) for r in got.collect()) == expect, size
+
+
+def test_links_are_exact_within_a_block():
     rng = np.random.default_rng(1)
     base = [rng.choice(4000, n, replace=False) for n in (50, 51, 400, 3)]
     sets = [np.unique(np.where(rng.random(len(b)) < share, rng.integers(5000, 9000, len(b)), b)).astype(np.uint64) for b in base for share in (0, 0.02, 0.08, 0.1, 0.12, 0.15, 0.5)]
-    root = similar.similar_roots(sets, 4, 5)
-    group = list(range(len(sets)))
-    for i in range(len(sets)):
-        for j in range(i):
-            if alike(set(sets[i].tolist()), set(sets[j].tolist())):
-                group = [group[j] if g == group[i] else g for g in group]
-    assert all((root[i] == root[j]) == (group[i] == group[j]) for i in range(len(sets)) for j in range(len(sets)))
+    for labels in (np.arange(len(sets)), np.arange(len(sets)) // 3):
+        group = labels.tolist()
+        join = lambda x, y: [y if g == x else g for g in group]  # noqa: E731, B023
+        for i in range(len(sets)):
+            for j in range(i):
+                if alike(set(sets[i].tolist()), set(sets[j].tolist())):
+                    group = join(group[i], group[j])
+        expect, group = group, labels.tolist()
+        for a, b in zip(*similar.linked_labels(sets, labels, 4, 5), strict=True):
+            group = join(a, b)
+        assert len(set(group)) == len(set(expect))
+        assert all((group[i] == group[j]) == (expect[i] == expect[j]) for i in range(len(sets)) for j in range(len(sets)))
