@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -104,6 +105,9 @@ class Codec:
         whole = self.ranks.get(piece)
         return [whole] if whole is not None else Prefixes(self, piece).ids()
 
+    def encode_match(self, match: str) -> bytes:
+        return self.young.get(match) or self._piece(match)
+
     def _piece(self, match: str) -> bytes:
         raw = self.old.get(match)
         if raw is None:
@@ -191,6 +195,49 @@ class Prefixes:
         return out[::-1]
 
 
+class Encoded:
+    """A text with its encoding, to which text can be appended and in which it can be edited, exactly.
+
+    The pattern's matches follow one another, and where a match begins decides, with the text from there on, all that come after it. What a
+    match is can depend on what follows only up to the first character behind it that is not white space. So an edit is matched anew from the
+    last match that has such a character between its end and the edit, until a match begins where an old one did behind the edit.
+    """
+
+    def __init__(self, codec: Codec, text: str = ""):
+        self.codec, self.text, self.starts, self.pieces = codec, "", [], []
+        self.append(text)
+
+    def append(self, more: str) -> int:
+        return self.edit(len(self.text), len(self.text), more)
+
+    def edit(self, start: int, stop: int, new: str) -> int:
+        """Puts ``new`` in the place of characters ``start`` to ``stop``; returns how many matches were encoded."""
+        text, shift = self.text[:start] + new + self.text[stop:], len(new) - (stop - start)
+        first = bisect.bisect_left(self.starts, start)
+        while first and (first == len(self.starts) or self.starts[first] >= start or not self.text[self.starts[first] : start].strip()):
+            first -= 1
+        at, last = self.starts[first] if first < len(self.starts) else 0, bisect.bisect_left(self.starts, stop)
+        starts, pieces = [], []
+        for match in self.codec.pattern.finditer(text, at):
+            begin = match.start()
+            while last < len(self.starts) and self.starts[last] + shift < begin:
+                last += 1
+            if begin >= start + len(new) and last < len(self.starts) and self.starts[last] + shift == begin:
+                break
+            starts.append(begin)
+            pieces.append(self.codec.encode_match(match.group()))
+        else:
+            last = len(self.starts)
+        self.text = text
+        self.starts = self.starts[:first] + starts + [x + shift for x in self.starts[last:]]
+        self.pieces = self.pieces[:first] + pieces + self.pieces[last:]
+        return len(pieces)
+
+    def ids(self) -> bytes:
+        """Little-endian unsigned 32-bit integers."""
+        return b"".join(self.pieces)
+
+
 def codec(path: str, pattern: str) -> Codec:
     """The worker's own codec for these ranks."""
     if (path, pattern) not in _made:

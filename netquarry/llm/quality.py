@@ -190,7 +190,10 @@ def assess(docs: DataFrame, model: Trees) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Trees) -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`assess` keeps, in one pass without a shuffle."""
+    """The rows of ``docs``, all columns, that :func:`assess` keeps, in one pass without a shuffle.
+
+    A null or empty text has no words and goes; rows with a null id and repeated rows are judged each by its text; an empty table gives no rows.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, base, x in _measured(batches):

@@ -168,7 +168,11 @@ def grade(docs: DataFrame, model: Severity) -> DataFrame:
 
 
 def clean(docs: DataFrame, model: Severity) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not toxic, in one pass without a shuffle."""
+    """The rows of ``docs``, all columns, that are not toxic, in one pass without a shuffle.
+
+    A null or empty text has no features, so its row stays; rows with a null id and repeated rows are judged each by its text; a text of any
+    length is read whole; an empty table gives no rows.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, over in _scored(batches, model):
