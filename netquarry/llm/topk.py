@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import saved
@@ -25,10 +25,11 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     )
 
 
-def _blocks(rows: DataFrame, n: Column, name: str) -> DataFrame:
-    """Rows of about equal numbers of vectors, dealt by a hash of id and vector, in order of id."""
-    keyed = rows.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("id", "v"), n).alias(name), F.struct("id", "v").alias("x"))
-    return keyed.groupBy("dim", name).agg(F.sort_array(F.collect_list("x")).alias(f"{name}_rows"))
+def _blocks(rows: DataFrame, n: int, name: str) -> DataFrame:
+    """``n`` rows of about equal numbers of vectors, dealt by a hash of id and vector, in order of id; each in a partition of its own,
+    up to 20,000 of them."""
+    keyed = rows.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("id", "v"), F.lit(n)).alias(name), F.struct("id", "v").alias("x"))
+    return keyed.repartition(min(n, 20_000), "dim", name).groupBy("dim", name).agg(F.sort_array(F.collect_list("x")).alias(f"{name}_rows"))
 
 
 def _matrix(rows: pa.Scalar, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,35 +130,43 @@ def _select(k: int):
     return run
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", block_rows: int = 1024) -> DataFrame:
+def top_k(
+    queries: DataFrame, candidates: DataFrame, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", block_rows: int = 1024, block_bytes: int = 1 << 21, send_bytes: int = 1 << 26
+) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest integer inner products.
 
-    Queries and candidates are packed into blocks of about ``block_rows`` vectors; each pair of blocks is scored by
-    one matrix product. Passes over all pairs count scores by bin in each query's interval, sum the counts of all
+    Queries are packed into blocks of about ``block_rows`` vectors and candidates into blocks of about ``block_bytes``; each pair of blocks is
+    scored by one matrix product. Passes over all pairs count scores by bin in each query's interval, sum the counts of all
     pairs and narrow the interval to the bin that holds the kth score, until it is one value wide. A last pass returns
     only what reaches it, ties by the smaller id. No scores are stored, no block goes to the driver.
 
+    Candidates are shuffled once, into their blocks. In each pass the queries come to them: broadcast if all queries' vectors have ``send_bytes`` at
+    most, which is checked; otherwise every query block is sent to every candidate block, and tasks are as many as candidate blocks.
+
     Vectors that are null or hold null or non-finite components, and rows without an id, take no part. Only
     vectors of equal length are compared. Candidates with the query's own id are left out. A query with
     fewer than k candidates returns all, without any none. Repeated rows count each. Other columns are ignored.
     """
     c, q = usable(candidates, id_column, vector_column), usable(queries, id_column, vector_column)
-    facts = c.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
-    nq = q.count()
+    facts = c.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m"), F.max(F.size("v")).alias("dim")).first()
+    asked = q.agg(F.count("*").alias("n"), F.sum(F.size("v") * 8 + 24).alias("bytes")).first()
     result = "query_id long, rank int, vec_id long, score long"
-    if not facts.n or not nq:
+    if not facts.n or not asked.n:
         return queries.sparkSession.createDataFrame([], result)
-    cb = saved(_blocks(c, F.lit(-(-facts.n // block_rows)), "cb"), "candidates")
+    n = -(-facts.n // max(1, min(8 * block_rows, block_bytes // (8 * max(1, facts.dim)))))
+    cb = saved(_blocks(c, n, "cb"), "candidates")
     bound = F.least(F.lit(float(2**62)), F.ceil(F.sqrt(F.lit(facts.m))) + 1.0)
     norm = lambda x: F.least(F.lit(float(2**62)), (F.sqrt(F.aggregate(x["v"], F.lit(0.0), lambda a, y: a + y * y)) + 1) * bound).cast("long")
-    qb = saved(_blocks(q, F.lit(-(-nq // block_rows)), "qb"), "queries")
+    qb = saved(_blocks(q, -(-asked.n // block_rows), "qb"), "queries")
     state = saved(qb.select("dim", "qb", F.transform("qb_rows", lambda x: -norm(x)).alias("lo"), F.transform("qb_rows", lambda x: norm(x) + 1).alias("hi"), F.transform("qb_rows", lambda x: F.lit(0).cast("long")).alias("above")), "state")
-    keys = cb.select("dim", "cb").join(qb.select(F.col("dim").alias("qdim"), "qb"), F.col("dim") == F.col("qdim")).drop("qdim")
-    keys = saved(keys, "pairs")
 
     def pairs(state: DataFrame) -> DataFrame:
         full = qb.join(state.drop("above"), ["dim", "qb"])
-        return keys.join(cb, ["dim", "cb"]).join(full, ["dim", "qb"]).select("dim", "qb", "qb_rows", "cb_rows", "lo", "hi")
+        if asked.bytes <= send_bytes:
+            met = cb.join(F.broadcast(full), "dim")
+        else:
+            met = cb.join(full.withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).hint("merge"), ["dim", "cb"])
+        return met.select("dim", "qb", "qb_rows", "cb_rows", "lo", "hi")
 
     while state.where(F.exists(F.zip_with("lo", "hi", lambda a, b: b - a > 1), lambda x: x)).limit(1).count():
         counts = pairs(state).mapInArrow(_histograms(k), "dim int, qb long, at int, bin int, n long")
