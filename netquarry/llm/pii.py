@@ -7,7 +7,9 @@ the key decides, so every mention of it, in any format and document, gets the sa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import free, saved
@@ -47,10 +49,33 @@ HINT = r"[@0-9]|AKIA|\b(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\b"
 DIGITS = ("ssn", "phone", "card")
 
 
+#: What a key looks like in a plan; :func:`hide_keys` has Spark leave it out wherever plans are shown or logged.
+SHOWN = r"pii-key-[0-9a-f]{64}"
+
+
+def _secret(key: str) -> Column:
+    """A literal that depends on the key but does not tell it."""
+    return F.lit("pii-key-" + hashlib.sha256(b"surrogates\x01" + key.encode()).hexdigest())
+
+
+def hide_keys(spark: SparkSession) -> None:
+    if not spark.conf.get("spark.sql.redaction.string.regex", None):
+        spark.conf.set("spark.sql.redaction.string.regex", SHOWN)
+
+
 def keyed(key: str, *parts: Column) -> Column:
     """128 hex digits that only who has the key can compute: a keyed hash of a keyed hash."""
-    message = F.concat_ws("\u0001", F.lit(key), *parts)
-    return F.sha2(F.concat_ws("\u0001", F.lit(key), F.sha2(message, 256)), 512)
+    message = F.concat_ws("\u0001", _secret(key), *parts)
+    return F.sha2(F.concat_ws("\u0001", _secret(key), F.sha2(message, 256)), 512)
+
+
+def sealed(key: str, value: Column) -> Column:
+    """Equal values have equal sealed forms; whatever is stored or shuffled of an entity is sealed."""
+    return F.base64(F.aes_encrypt(value, F.unhex(F.sha2(_secret(key), 256)), F.lit("ECB")))
+
+
+def opened(key: str, value: Column) -> Column:
+    return F.aes_decrypt(F.unbase64(value), F.unhex(F.sha2(_secret(key), 256)), F.lit("ECB")).cast("string")
 
 
 def _let(value: Column, then) -> Column:
@@ -209,11 +234,13 @@ def _shaped(mention: Column, kind: Column, plain: Column) -> Column:
     return F.when(kind.isin(*DIGITS), digits).when(kind == "email", letters).when(kind == "iban", spaced).when((kind == "hex") & (mention == F.upper(mention)), F.upper(plain)).otherwise(plain)
 
 
-def rendered(key: str, mention: Column, attempts: Column) -> Column:
-    """The surrogate in the mention's own format. ``attempts`` maps ``kind canon`` to its number of collisions."""
+def _replacement(key: str, kind: Column, canon: Column, attempts: Column) -> Column:
+    return surrogate(key, kind, canon, F.coalesce(F.try_element_at(attempts, F.concat_ws(" ", kind, sealed(key, canon))), F.lit(0)))
 
-    def of(e: Column) -> Column:
-        return surrogate(key, e["kind"], e["canon"], F.coalesce(F.try_element_at(attempts, F.concat_ws(" ", e["kind"], e["canon"])), F.lit(0)))
+
+def rendered(key: str, mention: Column, attempts: Column) -> Column:
+    """The surrogate in the mention's own format. ``attempts`` maps ``kind canon``, sealed, to its number of collisions."""
+    of = lambda e: _replacement(key, e["kind"], e["canon"], attempts)
 
     def put(x: Column) -> Column:
         words = F.split(mention, " ")
@@ -224,18 +251,23 @@ def rendered(key: str, mention: Column, attempts: Column) -> Column:
     return _let(F.struct(kind_of(mention).alias("kind"), entities(mention).alias("e")), put)
 
 
+def _real(mention: Column) -> Column:
+    """Whether a match is a mention: what has the form of a payment card must have its check digit."""
+    return ~mention.rlike(f"^(?:{PATTERNS['card']})$") | (_luhn(F.regexp_replace(mention, r"\D", "")) == 0)
+
+
 def mentions(text: Column) -> Column:
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(MENTION), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike(HINT), F.filter(F.regexp_extract_all(text, F.lit(MENTION), F.lit(0)), _real)).otherwise(F.array().cast("array<string>"))
 
 
 def collisions(found: DataFrame, key: str, most: int = 64) -> DataFrame:
-    """(kind, canon, attempt) of the entities whose first surrogate would not do.
+    """(kind, canon, attempt) of the entities whose first surrogate would not do; canon is sealed here and in ``found``.
 
     A surrogate must differ from that of every other entity of its kind and from every real one. Of entities with the
     same one the first keeps it and the others try again, until none is left; raises after ``most`` rounds.
     """
     known = saved(found.select("kind", "canon").distinct().withColumn("attempt", F.lit(0)), "entities")
-    made = surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt"))
+    made = sealed(key, surrogate(key, F.col("kind"), opened(key, F.col("canon")), F.col("attempt")))
     for _ in range(most):
         tried = known.withColumn("sur", made)
         order = Window.partitionBy("kind", "sur").orderBy("attempt", "canon")
@@ -249,36 +281,71 @@ def collisions(found: DataFrame, key: str, most: int = 64) -> DataFrame:
     raise ValueError("there are too few surrogates of some kind")
 
 
+def _rewritten(key: str, text: Column, attempts: Column) -> Column:
+    """(text, n): a text with surrogates and the number of mentions replaced.
+
+    Parts come by turns: text, mention, text and so on. Names found in a document are then looked for in its other parts, so "Smith"
+    and "John Smith" follow "Mr. John Smith"; as written there or in capitals, but not in lower case, where they may be common words.
+    """
+    plain = lambda s: F.array(F.struct(s.alias("s"), F.lit(0).alias("n")))
+    done = lambda s: F.array(F.struct(s.alias("s"), F.lit(1).alias("n")))
+
+    def named(part: Column, known: Column) -> Column:
+        """A part between mentions, with the known names in it replaced."""
+        forms = F.flatten(F.transform(known, lambda k: F.array(k["word"], F.upper(k["word"]))))
+        pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(forms, "|"), F.lit(r")(?!\p{L})"))
+        kind = lambda w: F.filter(known, lambda k: F.lower(k["word"]) == F.lower(w))[0]["kind"]
+        each = lambda w, i: F.when(i % 2 == 0, plain(w)).otherwise(done(_cased(w, _replacement(key, kind(w), F.lower(w), attempts))))
+        return F.flatten(F.transform(F.split(F.regexp_replace(part, pattern, F.lit("\u0001$0\u0001")), "\u0001"), each))
+
+    def names(mention: Column) -> Column:
+        words = F.array(*[F.struct(k.alias("kind"), w.alias("word")) for k, w in _name_words(mention)])
+        return F.when(kind_of(mention) == "name", F.filter(words, lambda w: w["word"].isNotNull())).otherwise(F.array().cast("array<struct<kind:string,word:string>>"))
+
+    def whole(parts: Column) -> Column:
+        known = F.array_distinct(F.flatten(F.transform(F.filter(parts, lambda p, i: (i % 2 == 1) & (p != "\u0002")), names)))
+
+        def put(k: Column) -> Column:
+            between = lambda p: F.when(F.size(k) == 0, plain(p)).otherwise(named(p, k))
+            mention = lambda p: F.when(_real(p), done(rendered(key, p, attempts))).otherwise(plain(p))
+            return F.flatten(F.transform(parts, lambda p, i: F.when(i % 2 == 0, between(p)).when(p == "\u0002", plain(F.lit("\u0001"))).otherwise(mention(p))))
+
+        joined = lambda x: F.struct(F.array_join(x["s"], "").alias("text"), F.aggregate(x["n"], F.lit(0), lambda a, n: a + n).alias("n"))
+        return F.when(F.size(parts) > 1, _let(_let(known, put), joined)).otherwise(F.struct(parts[0].alias("text"), F.lit(0).alias("n")))
+
+    # a mark on both sides of each mention; those that the text has itself are set aside
+    parts = F.split(F.regexp_replace(F.replace(text, F.lit("\u0001"), F.lit("\u0001\u0002\u0001")), MENTION, "\u0001$0\u0001"), "\u0001")
+    return F.when(text.rlike(HINT), _let(parts, whole)).otherwise(F.struct(text.alias("text"), F.lit(0).alias("n")))
+
+
 def replaced(docs: DataFrame, key: str) -> DataFrame:
     """``docs``, all columns, with surrogates in text, and a last column pii_mentions with the number replaced.
 
     Surrogates are computed in place from the key. Only the few entities whose surrogate collides need a look-up:
     their documents, named by a hash of the text, are joined with their numbers of attempts, a table that the
-    planner broadcasts if its files are small and shuffles otherwise.
+    planner broadcasts if its files are small and shuffles otherwise. Tables stored on the way hold entities sealed with the key only, and
+    plans show neither it nor what it was made of.
 
     ``docs`` needs text; a column pii_mentions of its own is replaced, others stay. A null text stays null and
-    an empty one empty, with no mentions. Repeated rows get equal results; an empty table gives no rows.
+    an empty one empty, with no mentions. Repeated rows get equal results; an empty table gives no rows; a text of any length is read whole.
     """
+    hide_keys(docs.sparkSession)
     text = F.col("text").cast("string")
     listed = docs.select(text.alias("text")).where(text.rlike(HINT)).select("text", mentions(F.col("text")).alias("m")).where(F.size("m") > 0)
-    listed = listed.select(F.sha2("text", 256).alias("of"), F.array_distinct(F.flatten(F.transform("m", entities))).alias("e"))
-    listed = saved(listed, "mentions")
+    hidden = F.transform(F.array_distinct(F.flatten(F.transform("m", entities))), lambda e: F.struct(e["kind"].alias("kind"), sealed(key, e["canon"]).alias("canon")))
+    listed = saved(listed.select(sealed(key, F.sha2("text", 256)).alias("of"), hidden.alias("e")), "mentions")
     each = listed.select("of", F.explode("e").alias("e")).select("of", "e.kind", "e.canon")
     odd = saved(collisions(each, key), "collisions")
     own = docs.drop("pii_mentions")
-    attempts, of = free(own, "pii_attempts"), free(own, "pii_of")
+    attempts, of, made = free(own, "pii_attempts"), free(own, "pii_of"), free(own, "pii_made")
     if odd.isEmpty():
         looked = own.withColumn(attempts, F.lit(None).cast("map<string,int>"))
     else:
         pair = F.struct(F.concat_ws(" ", "kind", "canon").alias("entity"), "attempt")
         maps = each.distinct().join(odd, ["kind", "canon"]).groupBy("of").agg(F.map_from_entries(F.collect_list(pair)).alias(attempts))
         maps = saved(maps.withColumnRenamed("of", free(own, "pii_key")), "attempts")
-        looked = own.withColumn(of, F.when(text.rlike(HINT), F.sha2(text, 256)))
+        looked = own.withColumn(of, F.when(text.rlike(HINT), sealed(key, F.sha2(text, 256))))
         looked = looked.join(maps, F.col(of) == F.col(maps.columns[0]), "left").drop(of, maps.columns[0])
-    # a mark on both sides of each mention; those that the text has itself are set aside
-    found = mentions(text)
-    parts = F.split(F.regexp_replace(F.replace(text, F.lit("\u0001"), F.lit("\u0001\u0002\u0001")), MENTION, "\u0001$0\u0001"), "\u0001")
-    put = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 0, p).when(p == "\u0002", F.lit("\u0001")).otherwise(rendered(key, p, F.col(attempts)))), "")
-    new = F.when(text.rlike(HINT) & (F.size(found) > 0), put).otherwise(text)
-    kept = [F.col(f"`{c}`") if c != "text" else new.alias("text") for c in own.columns]
-    return looked.select(*kept, F.coalesce(F.size(found), F.lit(0)).alias("pii_mentions"))
+    looked = looked.withColumn(made, _rewritten(key, text, F.col(attempts)))
+    kept = [F.col(f"`{c}`") if c != "text" else F.col(made)["text"].alias("text") for c in own.columns]
+    return looked.select(*kept, F.coalesce(F.col(made)["n"], F.lit(0)).alias("pii_mentions"))
