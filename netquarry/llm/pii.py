@@ -12,7 +12,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import free, saved
+from .store import free, release, saved
 
 #: Titles, by the gender that they tell.
 MALE = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Господин")
@@ -115,17 +115,20 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), step)
 
 
-def _made_name(h: Column, kind: Column, canon: Column, attempt: Column) -> Column:
-    """Three parts and an ending in the name's script, the ending by gender; one more part after each collision."""
-    out = F.lit(None).cast("string")
-    for script, parts in PARTS.items():
-        many = F.array(*map(F.lit, parts))
-        for gender, endings in ENDINGS[script].items():
-            # byte 3 decides the ending; the lambda is called at once
-            pieces = F.transform(F.sequence(F.lit(0), attempt + 2), lambda i: F.element_at(many, _byte(h, F.when(i < 3, i).otherwise(i + 1)) % len(parts) + 1))  # noqa: B023
-            made = F.concat(F.array_join(pieces, ""), F.element_at(F.array(*map(F.lit, endings)), _byte(h, F.lit(3)) % len(endings) + 1))
-            out = F.when(kind == f"name_{gender}_{script}", made).otherwise(out)
-    return F.coalesce(out, canon)
+def _made_name(h: Column, kind: Column, attempt: Column) -> Column:
+    """Three parts and an ending in the name's script, the ending by gender; one more part after each collision. Null for other kinds."""
+    many = lambda xs: F.array(*map(F.lit, xs))
+    parts, endings = F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>")
+    for script in PARTS:
+        parts = F.when(kind.endswith(f"_{script}"), many(PARTS[script])).otherwise(parts)
+        for gender, known in ENDINGS[script].items():
+            endings = F.when(kind == f"name_{gender}_{script}", many(known)).otherwise(endings)
+
+    def put(x: Column) -> Column:
+        one = lambda i: F.element_at(x["parts"], _byte(h, F.when(i < 3, i).otherwise(i + 1)) % F.size(x["parts"]) + 1)  # noqa: E731  byte 3 decides the ending
+        return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), attempt + 2), one), ""), F.element_at(x["endings"], _byte(h, F.lit(3)) % F.size(x["endings"]) + 1))
+
+    return _let(F.struct(parts.alias("parts"), endings.alias("endings")), put)
 
 
 def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
@@ -134,8 +137,11 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     Where a kind has few surrogates the attempts widen its space: names get a part and mailboxes a letter for each, telephone numbers
     a digit for every fourth; private addresses move to 10.0.0.0/8 from the 16th and to any address from the 32nd.
     """
-    given = F.struct(kind.alias("kind"), canon.alias("canon"), attempt.cast("int").alias("attempt"), keyed(key, kind, canon, attempt.cast("string")).alias("h"))
-    return _let(given, lambda x: _surrogate(key, x["kind"], x["canon"], x["h"], x["attempt"]))
+    return _let(_given(key, kind, canon, attempt), lambda x: _surrogate(key, x["kind"], x["canon"], x["h"], x["attempt"]))
+
+
+def _given(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
+    return F.struct(kind.alias("kind"), canon.alias("canon"), attempt.cast("int").alias("attempt"), keyed(key, kind, canon, attempt.cast("string")).alias("h"))
 
 
 def _surrogate(key: str, kind: Column, canon: Column, h: Column, attempt: Column) -> Column:
@@ -166,7 +172,7 @@ def _surrogate(key: str, kind: Column, canon: Column, h: Column, attempt: Column
         .when(kind == "iban", iban)
         .when(kind == "key", F.concat(F.lit("AKIA"), _restyled(F.substr(canon, F.lit(5)), h)))
         .when(kind == "hex", F.substr(h, F.lit(1), F.length(canon)))
-        .otherwise(_made_name(h, kind, canon, attempt))
+        .otherwise(F.coalesce(_made_name(h, kind, attempt), canon))
     )
 
 
@@ -234,19 +240,25 @@ def _shaped(mention: Column, kind: Column, plain: Column) -> Column:
     return F.when(kind.isin(*DIGITS), digits).when(kind == "email", letters).when(kind == "iban", spaced).when((kind == "hex") & (mention == F.upper(mention)), F.upper(plain)).otherwise(plain)
 
 
-def _replacement(key: str, kind: Column, canon: Column, attempts: Column) -> Column:
-    return surrogate(key, kind, canon, F.coalesce(F.try_element_at(attempts, F.concat_ws(" ", kind, sealed(key, canon))), F.lit(0)))
+def _tried(key: str, kind: Column, canon: Column, attempts: Column) -> Column:
+    return F.coalesce(F.try_element_at(attempts, F.concat_ws(" ", kind, sealed(key, canon))), F.lit(0))
+
+
+def _new_name(key: str, kind: Column, word: Column, attempts: Column) -> Column:
+    """:func:`surrogate` of a name's word, with the word's capitals."""
+    return _cased(word, _let(_given(key, kind, F.lower(word), _tried(key, kind, F.lower(word), attempts)), lambda x: _made_name(x["h"], x["kind"], x["attempt"])))
 
 
 def rendered(key: str, mention: Column, attempts: Column) -> Column:
     """The surrogate in the mention's own format. ``attempts`` maps ``kind canon``, sealed, to its number of collisions."""
-    of = lambda e: _replacement(key, e["kind"], e["canon"], attempts)
+    words = F.split(mention, " ")
+    named = lambda e, i, n: _new_name(key, e["kind"], F.element_at(words, i - n), attempts)
 
     def put(x: Column) -> Column:
-        words = F.split(mention, " ")
-        parts = F.transform(x["e"], lambda e, i: _cased(F.element_at(words, i - F.size(x["e"])), of(e)))
-        name = F.concat_ws(" ", words[0], F.array_join(parts, " "))
-        return F.when(x["kind"] == "name", name).otherwise(_let(of(x["e"][0]), lambda plain: _shaped(mention, x["kind"], plain)))
+        name = F.concat_ws(" ", words[0], F.array_join(F.transform(x["e"], lambda e, i: named(e, i, F.size(x["e"]))), " "))
+        one = x["e"][0]
+        other = _let(surrogate(key, one["kind"], one["canon"], _tried(key, one["kind"], one["canon"], attempts)), lambda plain: _shaped(mention, x["kind"], plain))
+        return F.when(x["kind"] == "name", name).otherwise(other)
 
     return _let(F.struct(kind_of(mention).alias("kind"), entities(mention).alias("e")), put)
 
@@ -266,7 +278,7 @@ def collisions(found: DataFrame, key: str, most: int = 64) -> DataFrame:
     A surrogate must differ from that of every other entity of its kind and from every real one. Of entities with the
     same one the first keeps it and the others try again, until none is left; raises after ``most`` rounds.
     """
-    known = saved(found.select("kind", "canon").distinct().withColumn("attempt", F.lit(0)), "entities")
+    known = table = saved(found.select("kind", "canon").distinct().withColumn("attempt", F.lit(0)), "entities")
     made = sealed(key, surrogate(key, F.col("kind"), opened(key, F.col("canon")), F.col("attempt")))
     for _ in range(most):
         tried = known.withColumn("sur", made)
@@ -274,10 +286,11 @@ def collisions(found: DataFrame, key: str, most: int = 64) -> DataFrame:
         real = known.select(F.col("kind").alias("real_kind"), F.col("canon").alias("real"))
         checked = tried.withColumn("nth", F.row_number().over(order)).join(real, (F.col("kind") == F.col("real_kind")) & (F.col("sur") == F.col("real")), "left")
         again = F.when((F.col("nth") > 1) | F.col("real").isNotNull(), 1).otherwise(0)
-        known = saved(checked.select("kind", "canon", (F.col("attempt") + again).alias("attempt"), again.alias("again")), "entities")
-        if known.where("again = 1").isEmpty():
-            return known.where("attempt > 0").select("kind", "canon", "attempt")
-        known = known.drop("again")
+        former, table = table, saved(checked.select("kind", "canon", (F.col("attempt") + again).alias("attempt"), again.alias("again")), "entities")
+        release(former)
+        if table.where("again = 1").isEmpty():
+            return table.where("attempt > 0").select("kind", "canon", "attempt")
+        known = table.drop("again")
     raise ValueError("there are too few surrogates of some kind")
 
 
@@ -295,7 +308,7 @@ def _rewritten(key: str, text: Column, attempts: Column) -> Column:
         forms = F.flatten(F.transform(known, lambda k: F.array(k["word"], F.upper(k["word"]))))
         pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(forms, "|"), F.lit(r")(?!\p{L})"))
         kind = lambda w: F.filter(known, lambda k: F.lower(k["word"]) == F.lower(w))[0]["kind"]
-        each = lambda w, i: F.when(i % 2 == 0, plain(w)).otherwise(done(_cased(w, _replacement(key, kind(w), F.lower(w), attempts))))
+        each = lambda w, i: F.when(i % 2 == 0, plain(w)).otherwise(done(_new_name(key, kind(w), w, attempts)))
         return F.flatten(F.transform(F.split(F.regexp_replace(part, pattern, F.lit("\u0001$0\u0001")), "\u0001"), each))
 
     def names(mention: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..cluster import scratch_path
+from ..cluster import forget, scratch_path
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -12,7 +12,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     what is read again neither runs twice nor depends on an executor that may be lost."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(table: DataFrame) -> None:
+    """Deletes a table of :func:`saved` that nothing will read again; others go when the driver ends."""
+    forget(table.sparkSession, table.scratch_path)
 
 
 def free(df: DataFrame, name: str) -> str:

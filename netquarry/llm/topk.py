@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import saved
+from .store import release, saved
 
 BINS = 1024
 LONG = np.iinfo(np.int64)
@@ -172,7 +172,8 @@ def top_k(
         counts = pairs(state).mapInArrow(_histograms(k), "dim int, qb long, at int, bin int, n long")
         found = counts.groupBy("dim", "qb", "at", "bin").agg(F.sum("n").alias("n")).groupBy("dim", "qb").agg(F.collect_list(F.struct("at", "bin", "n")).alias("found"))
         narrowed = state.join(found, ["dim", "qb"], "left").select("dim", "qb", "lo", "hi", "above", "found")
-        state = saved(narrowed.mapInArrow(_refine(k), "dim int, qb long, lo array<long>, hi array<long>, above array<long>"), "state")
+        former, state = state, saved(narrowed.mapInArrow(_refine(k), "dim int, qb long, lo array<long>, hi array<long>, above array<long>"), "state")
+        release(former)
     chosen = pairs(state).mapInArrow(_select(k), "dim int, qb long, at int, query_id long, vec_id long, score long")
     order = Window.partitionBy("dim", "qb", "at").orderBy(F.desc("score"), "vec_id")
     return chosen.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
