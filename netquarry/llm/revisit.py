@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import saved
 
+LEAST = -(2**63)
 #: The fields that a 304 answer may update in a stored response (RFC 7232, 4.1).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that name no other content.
@@ -29,6 +32,21 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(tag, r"^W/", "")
 
 
+def _span(cuts: list[tuple[int, int]], ts: Column, record_id: Column) -> Column:
+    """How many of the ascending cuts are not after (ts, record_id), by bisection."""
+    if not cuts:
+        return F.lit(0)
+    known = [F.from_json(F.lit(json.dumps([c[k] for c in cuts])), "array<bigint>") for k in range(2)]  # folded to literals once
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+
+    def step(at: Column, width: Column) -> Column:
+        place = F.least(at + width, F.lit(len(cuts)))
+        t, i = (F.element_at(k, place) for k in known)
+        return F.when((at + width <= len(cuts)) & ((t < ts) | (t == ts) & (i <= record_id)), at + width).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def resolve(records: DataFrame, buckets: int = 1024) -> DataFrame:
     """record_id, url_key, kind, source_id, status, headers, payload_digest of every record.
 
@@ -43,24 +61,27 @@ def resolve(records: DataFrame, buckets: int = 1024) -> DataFrame:
     headers are none. Every row is a record of its own, rows with a null or repeated record_id too; of responses that tie in (ts, record_id)
     the last by digest and headers counts as the latest, and none of them is before a revisit that ties with them. An empty table gives no rows.
 
-    The as-of join never sorts a URL's whole history in one task: time is cut into ``buckets`` spans; the latest response is looked
-    for within (URL, span), and the last one of earlier spans is carried over from one row for each, so a hot URL is spread over spans.
+    The as-of join never sorts a URL's whole history in one task: the records' order by (ts, record_id) is cut into ``buckets`` spans at quantiles of a
+    sample of about 64 records for each, so that neither a far-off time nor a burst puts more than its share into one; the latest response is looked
+    for within (URL, span), and the last one of earlier spans is carried over from one row for each. A hot URL is spread over all spans.
     """
     r = records.select(
         F.col("record_id").cast("long").alias("record_id"),
         canonical_url(F.col("url").cast("string")).alias("url_key"),
-        F.coalesce(F.col("ts").cast("long"), F.lit(-(2**63))).alias("ts"),
+        F.coalesce(F.col("ts").cast("long"), F.lit(LEAST)).alias("ts"),
         F.col("kind").cast("string").alias("kind"),
         F.coalesce(F.col("headers"), F.create_map().cast("map<string,string>")).alias("headers"),
         F.col("payload_digest").cast("string").alias("payload_digest"),
     )
     r = saved(r.withColumn("row", F.monotonically_increasing_id()), "records")
-    span = r.where(F.col("ts") > -(2**63)).agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
-    low, width = (0, 1) if span.low is None else (span.low, max(1, -(-(span.high - span.low + 1) // buckets)))
+    place = F.coalesce("record_id", F.lit(LEAST))
+    rate = max(1, r.count() // (64 * buckets))
+    sample = sorted(tuple(x) for x in r.where(F.pmod(F.xxhash64("row"), F.lit(rate)) == 0).select("ts", place).limit(256 * buckets).collect())
+    cuts = sorted({sample[len(sample) * k // buckets] for k in range(1, buckets)}) if sample else []
     is_response = F.coalesce(F.col("kind") == "response", F.lit(False))
     order = ["ts", "record_id", "full", "tie", "row"]
     tie = F.struct(F.coalesce("payload_digest", F.lit("")), F.xxhash64(F.array_sort(F.map_entries("headers"))))
-    keyed = r.select("row", "record_id", "url_key", "ts", tie.alias("tie"), is_response.alias("full"), F.floor((F.greatest("ts", F.lit(low - 1)) - low) / width).cast("long").alias("span"))
+    keyed = r.select("row", "record_id", "url_key", "ts", tie.alias("tie"), is_response.alias("full"), _span(cuts, F.col("ts"), place).alias("span"))
     keyed = keyed.where(F.col("url_key").isNotNull())
     here = F.last(F.when(F.col("full"), F.col("row")), ignorenulls=True).over(Window.partitionBy("url_key", "span").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     within = keyed.select("row", "url_key", "span", "full", here.alias("here"))
