@@ -58,7 +58,7 @@ def cut(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.
 def _pieces(path: str, capacity: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = word_ids(path), Counter()
-        for batch in by_bytes(batches, limit=1 << 22):
+        for batch in by_bytes(batches):
             ids, starts = encoder.ids(column(batch, "text"), end=True)
             raw, sizes = memoryview(ids).cast("B"), np.diff(starts)
             doc, start, length = cut(sizes, capacity)
@@ -91,7 +91,7 @@ def _pack_group(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, group_rows: int = 8192, groups: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, group_rows: int = 2048, groups: int | None = None) -> DataFrame:
     """One row per piece of a document: where it starts there, its length and crc32, and its place in a sequence.
 
     Each document is its ids and the end id; it is cut into full sequences and a rest. Rests are packed by
