@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 
 import numpy as np
@@ -94,19 +93,16 @@ class WordIds:
     straight to the library's BPE model, all others its whole way.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as file:
-            described = json.load(file)
-        bare = {"version": described["version"], "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None, "model": described["model"]}
-        self.words = Tokenizer.from_str(json.dumps(bare))
+        self.words = Tokenizer(self.tokenizer.model)  # the same model in memory, without normaliser or special tokens
         self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
-        suffix = described["model"]["end_of_word_suffix"]
+        suffix = self.tokenizer.model.end_of_word_suffix
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-        self.ends[[i for t, i in described["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.limit = limit
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -189,7 +185,7 @@ class WordIds:
         return [ids[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
 
 
-def word_ids(path: str, limit: int = 250_000) -> WordIds:
+def word_ids(path: str, limit: int = 150_000) -> WordIds:
     """The worker's own encoder for this vocabulary."""
     if (path, limit) not in _made:
         _made[path, limit] = WordIds(path, limit)
