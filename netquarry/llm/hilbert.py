@@ -46,19 +46,19 @@ def category(column: Column, bits: int) -> Column:
     return F.when(column.isNull(), 0).otherwise(F.pmod(F.xxhash64(column), F.lit(1 << bits)).cast("int"))
 
 
-def magnitude(column: Column, bits: int) -> Column:
-    """A code for a size: its logarithm, in even steps up to 2^40. Null is 0."""
-    top = (1 << bits) - 1
-    step = F.floor(F.log2(F.greatest(column.cast("double"), F.lit(1.0))) * (top / 40.0))
-    return F.coalesce(F.least(step, F.lit(top)), F.lit(0)).cast("int")
+def magnitude(column: Column, cuts: list[int]) -> Column:
+    """A code for a size: how many of the ascending cuts it reaches. Null is 0."""
+    if not cuts:
+        return F.lit(0)
+    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= column)), F.lit(0))
 
 
 def shards(docs: DataFrame, n: int = 24, dimensions: tuple[str, ...] = ("lang", "source"), bits: int = 5, bucket_rows: int = 2048) -> DataFrame:
-    """doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null) and curve of every document.
+    """doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null), curve and codes (the cell) of every document.
 
-    The dimensions' codes and the text's size name a cell; documents lie in the order of their cells on the
+    The dimensions' codes and the text's size, in steps of equal shares of the documents, name a cell; documents lie in the order of their cells on the
     curve and are cut into ``n`` runs whose numbers of rows differ by one at most. So a shard covers few
-    values of every dimension, and a reader with a filter on any of them skips most shards.
+    values of every dimension, and a reader with a filter on any of them skips shards (see :func:`manifest`).
 
     The global order needs no single sort: there are at most 2^(bits x dimensions) cells, whose counts are summed
     and added up in order; a cell with more than ``bucket_rows`` rows (or a millionth of all) is split by a hash into buckets, ranked one by one.
@@ -71,10 +71,14 @@ def shards(docs: DataFrame, n: int = 24, dimensions: tuple[str, ...] = ("lang",
     dims = [docs[d].cast("string") if d in has else F.lit(None).cast("string") for d in dimensions]
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     facts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *[d.alias(f"dim{i}") for i, d in enumerate(dims)])
-    codes = [category(F.col(f"dim{i}"), bits) for i in range(len(dims))] + [magnitude(F.col("size"), bits)]
-    coded = facts.select("doc_id", "size", "text_crc32", *[c.alias(f"code{i}") for i, c in enumerate(codes)])
-    placed = coded.select("doc_id", "size", "text_crc32", hilbert_index([F.col(f"code{i}") for i in range(len(codes))], bits).alias("curve"), F.monotonically_increasing_id().alias("row"))
-    placed = saved(placed, "curve")
+    known = [category(F.col(f"dim{i}"), bits) for i in range(len(dims))]
+    coded = saved(facts.select("doc_id", "size", "text_crc32", F.array(*known).alias("known"), F.monotonically_increasing_id().alias("row")), "coded")
+    shares = F.array(*[F.lit(k / (1 << bits)) for k in range(1, 1 << bits)])
+    cuts = sorted(set(coded.agg(F.percentile_approx("size", shares, 10_000)).first()[0] or []))
+    codes = F.concat("known", F.array(magnitude(F.col("size"), cuts)))
+    many = len(dims) + 1
+    placed = coded.select("doc_id", "size", "text_crc32", "row", codes.alias("codes"))
+    placed = placed.select("*", hilbert_index([F.col("codes")[i] for i in range(many)], bits).alias("curve"))
     cells = placed.groupBy("curve").count()
     order = Window.partitionBy(F.lit(0)).orderBy("curve")
     cells = cells.withColumn("total", F.sum("count").over(Window.partitionBy(F.lit(0)))).select(
@@ -91,7 +95,22 @@ def shards(docs: DataFrame, n: int = 24, dimensions: tuple[str, ...] = ("lang",
     shard = F.expr(f"rank * {n} div total")
     return (
         ranked.join(counts, ["curve", "bucket"])
-        .select("doc_id", "size", "text_crc32", "curve", "total", rank.alias("rank"))
+        .select("doc_id", "size", "text_crc32", "curve", "codes", "total", rank.alias("rank"))
         .withColumn("s", shard)
-        .select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("s").cast("int").alias("shard"), F.expr(f"rank - (s * total + {n - 1}) div {n}").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
+        .select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("s").cast("int").alias("shard"), F.expr(f"rank - (s * total + {n - 1}) div {n}").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve", "codes")
     )
+
+
+def manifest(placed: DataFrame) -> DataFrame:
+    """A row for each shard of :func:`shards`: rows, bytes, least and largest size, and for each dimension the codes that occur, 2^bits at most."""
+    sets = placed.select("shard", "size", F.posexplode("codes").alias("at", "code")).groupBy("shard", "at").agg(F.sort_array(F.collect_set("code")).alias("held"))
+    sets = sets.groupBy("shard").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "held"))), lambda x: x["held"]).alias("codes"))
+    sizes = placed.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), F.min("size").alias("least_size"), F.max("size").alias("most_size"))
+    return sizes.join(sets, "shard")
+
+
+def shards_for(held: DataFrame, categories: dict[int, str | None] | None = None, sizes: tuple[int, int] | None = None, bits: int = 5) -> DataFrame:
+    """The rows of a manifest whose shards may hold documents with these values of category dimensions (by place) and sizes (both ends included)."""
+    for at, value in (categories or {}).items():
+        held = held.where(F.array_contains(F.col("codes")[at], category(F.lit(value).cast("string"), bits)))
+    return held.where(F.col("least_size").between(0, sizes[1]) & (F.col("most_size") >= sizes[0])) if sizes else held
