@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import saved
+from .store import release, saved
 
 
 def hilbert_index(codes: list[Column], bits: int) -> Column:
@@ -77,8 +77,10 @@ def shards(docs: DataFrame, n: int = 24, dimensions: tuple[str, ...] = ("lang",
     cuts = sorted(set(coded.agg(F.percentile_approx("size", shares, 10_000)).first()[0] or []))
     codes = F.concat("known", F.array(magnitude(F.col("size"), cuts)))
     many = len(dims) + 1
-    placed = coded.select("doc_id", "size", "text_crc32", "row", codes.alias("codes"))
-    placed = placed.select("*", hilbert_index([F.col("codes")[i] for i in range(many)], bits).alias("curve"))
+    # the lambda's argument is evaluated once, however often the index refers to it
+    cell = F.transform(F.array(codes), lambda c: F.struct(c.alias("codes"), hilbert_index([c[i] for i in range(many)], bits).alias("curve")))[0]
+    placed = saved(coded.select("doc_id", "size", "text_crc32", "row", cell.alias("cell")).select("doc_id", "size", "text_crc32", "row", "cell.codes", "cell.curve"), "curve")
+    release(coded)
     cells = placed.groupBy("curve").count()
     order = Window.partitionBy(F.lit(0)).orderBy("curve")
     cells = cells.withColumn("total", F.sum("count").over(Window.partitionBy(F.lit(0)))).select(
