@@ -190,21 +190,22 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
 
 
-def links(distinct: DataFrame, n: int, radius: int = 2, shard_rows: int = 4096, sample_rows: int = 1 << 20) -> DataFrame:
+def links(distinct: DataFrame, n: int, radius: int = 2, shard_rows: int = 4096, sample_rows: int = 1 << 21) -> DataFrame:
     """(a, b) edges that connect exactly the fingerprints which a chain of links of at most ``radius`` bits
     connects. ``distinct`` has ``n`` different values of fp.
 
     The top of the tree is built from a sample by hash, of 256 fingerprints for each shard of about
-    ``shard_rows``, ``sample_rows`` at most; only this sample goes to the driver. Every fingerprint is then
-    routed to its shard, and to those across a border closer than the radius. A shard returns one edge
+    ``shard_rows`` or as many as ``sample_rows`` leaves each, 32 at least; only this sample (16 MB at most) goes to the driver. So the number of
+    shards grows with the corpus and their size does not, up to 65,536 shards; beyond, shards grow, in memory by 8 bytes a fingerprint, and go on splitting
+    inside their tasks. Every fingerprint is routed to its shard, and to those across a border closer than the radius. A shard returns one edge
     for a fingerprint at most, to the first of its group there, however many pairs the group has.
     """
-    want = min(sample_rows, 256 * (-(-n // shard_rows)))
-    rate = max(1, n // max(1, want))
-    sample = np.array([r.fp for r in distinct.where(F.pmod(F.xxhash64("fp"), F.lit(rate)) == 0).limit(2 * sample_rows).collect()], dtype=np.int64)
-    sample.sort()
+    shards = min(-(-n // shard_rows), sample_rows // 32)
+    rate = max(1, n // max(1, min(sample_rows, 256 * shards)))
+    found = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(rate)) == 0).select("fp").limit(2 * sample_rows).toArrow()
+    sample = np.sort(found["fp"].to_numpy().astype(np.int64))
     sample = np.random.default_rng(7).permutation(sample)
-    tree = VantageTree(sample.view(np.uint64), max(2, shard_rows // rate), radius)
+    tree = VantageTree(sample.view(np.uint64), max(2, len(sample) // max(1, shards)), radius)
     routed = distinct.select("fp").mapInArrow(_route(tree), "shard int, fp long")
     return routed.groupBy("shard").applyInArrow(_shard_edges(radius), "a long, b long")
 
@@ -214,7 +215,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, shard_ro
 
     Fingerprints that differ in at most ``radius`` bits are linked; component_id is the smallest doc_id that a
     document reaches over links, its own included. All links count: copies are joined through their common
-    fingerprint, different fingerprints by an exact search in shards of about ``shard_rows``, or a 4096th of all.
+    fingerprint, different fingerprints by an exact search in shards of about ``shard_rows``.
 
     ``docs`` needs doc_id and text; other columns are ignored whatever their names. A null, empty or blank text
     has fingerprint zero and is linked like any other. Repeated rows return each. A null doc_id keeps its row; it
@@ -223,7 +224,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, shard_ro
     marked = saved(fingerprints(docs, shingle), "fingerprints")
     groups = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "groups")
     n = groups.count()
-    roots = components(links(groups, n, radius, max(shard_rows, n // 4096))) if n > 1 else None
+    roots = components(links(groups, n, radius, shard_rows)) if n > 1 else None
     if roots is None:
         labels = groups.select("fp", F.col("first").alias("component_id"))
     else:
