@@ -1,6 +1,7 @@
 """Each operator against brute force, an exact round trip or held-out accuracy, with odd inputs."""
 
 import functools
+import glob
 import hashlib
 import io
 import random
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from netquarry.cluster import scratch_path
+from netquarry.cluster import scratch_dir, scratch_path
 from netquarry.llm import bpe, components, hilbert, packing, pii, quality, revisit, seekable, simhash, tokens, topk, toxicity
 
 
@@ -206,6 +207,29 @@ def test_bpe_appends_and_edits(ranks_path):
     assert long.edit(10, 12, b"x") < 1000  # an edit does not encode the rest anew
 
 
+def test_bpe_edits_of_whole_texts(ranks_path):
+    """Edits and appends anywhere in a text give what encoding the new text would, and encode few matches."""
+    ranks = bpe.load_ranks(ranks_path)
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec, rng = bpe.codec(ranks_path, public_tokenizers.PATTERN), random.Random(17)
+    letters = "abé '  \n\t1.,日'sl"
+    some = lambda n: "".join(rng.choice(letters) for _ in range(rng.randrange(n)))
+    for _ in range(60):
+        grown = bpe.Encoded(codec, some(60))
+        for _ in range(25):
+            start = rng.randrange(len(grown.text) + 1)
+            stop, new = min(len(grown.text), start + rng.randrange(5)), some(6)
+            if rng.random() < 0.2:
+                whole = grown.text + new
+                grown.append(new)
+            else:
+                whole = grown.text[:start] + new + grown.text[stop:]
+                grown.edit(start, stop, new)
+            assert grown.text == whole and grown.ids() == np.array(other.encode_ordinary(whole), dtype="<u4").tobytes()
+    long = bpe.Encoded(codec, "some words in a row " * 5000)
+    assert long.edit(40_000, 40_003, "other") < 10 and long.append("more of them") < 10
+
+
 # Top-k
 
 
@@ -276,7 +300,7 @@ def test_pii_collisions_are_resolved(spark):
     """Names have few surrogates of one kind here, so many collide; all stay distinct and no real one is reused."""
     names = [f"Mr. Ab{a}{b}{c}" for a in "aeiou" for b in "bcdfglmn" for c in ("ra", "so", "ti")]
     df = spark.createDataFrame([(i, f"So {n} came", i, "o") for i, n in enumerate(names)], "doc_id long, text string, pii_of long, of string")
-    entity = df.select(F.explode(pii.mentions(F.col("text"))).alias("m")).select(F.explode(pii.entities(F.col("m"))).alias("e")).select("e.*")
+    entity = df.select(F.explode(pii.mentions(F.col("text"))).alias("m")).select(F.explode(pii.entities(F.col("m"))).alias("e")).select("e.kind", pii.sealed("k", F.col("e.canon")).alias("canon"))
     squeezed = pii.PARTS["latin"]
     try:
         pii.PARTS["latin"] = squeezed[:6]
@@ -288,6 +312,31 @@ def test_pii_collisions_are_resolved(spark):
     assert len(set(out)) == len(names) and not set(out) & {n.split()[1] for n in names}
 
 
+def test_pii_names_follow_through_a_document(spark):
+    rows = [(1, "Mr. John Smith came. Smith left, and John Smith slept; SMITH's bed, not Smithson's. The smith worked."), (2, "Smith is unknown here. Card 4111 1111 1111 1112 is none, 4111 1111 1111 1111 is."), (3, "Dr. Smith and McDonald met Prof. McDonald \x01")]
+    out = {r.doc_id: r for r in pii.replaced(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    words = out[1].text.split()
+    first, last = words[1], words[2]
+    assert first != "John" and last not in ("Smith", "smith")
+    assert out[1].text == f"Mr. {first} {last} came. {last} left, and {first} {last} slept; {last.upper()}'s bed, not Smithson's. The smith worked." and out[1].pii_mentions == 5
+    assert out[2].text.startswith("Smith is unknown here. Card 4111 1111 1111 1112 is none, 4") and "1111 1111 1111 is" not in out[2].text and out[2].pii_mentions == 1
+    other = out[3].text.split()
+    assert other[1] == last and other[3] == other[6] != "McDonald" and out[3].text.endswith(" \x01") and out[3].pii_mentions == 3
+
+
+def test_pii_leaves_no_trace(spark):
+    """Neither the stored tables nor the plans hold an entity or the key."""
+    before = set(glob.glob(f"{scratch_dir(spark).removeprefix('file://')}/*"))
+    df = spark.createDataFrame([(1, "Mail bob.smith@example.com, Mr. Zacharias came"), (2, "a@b.example.com")], "doc_id long, text string")
+    out = pii.replaced(df, "a very secret key")
+    out.collect()
+    for folder in set(glob.glob(f"{scratch_dir(spark).removeprefix('file://')}/*")) - before:
+        shown = str(spark.read.parquet(f"file://{folder}").collect()).lower()
+        assert "zacharias" not in shown and "bob" not in shown and "example" not in shown
+    plan = out._jdf.queryExecution().toString()
+    assert "a very secret key" not in plan and "pii-key-" not in plan
+
+
 def test_pii_keys_in_capitals(spark):
     real = "9233a8ec" * 5
     df = spark.createDataFrame([(1, f'token = "{real}"'), (2, f'TOKEN = "{real.upper()}"')], "doc_id long, text string")
@@ -342,6 +391,13 @@ def test_trees_learn_and_fall_only():
     model = quality.fit(x[:2000], y[:2000], falling=(0,))
     held = ((x[2000:, 0] < 0.4) & (x[2000:, 1] > 0.2)) == (model.score(x[2000:]) > 0.5)
     assert held.mean() > 0.97
+    for row, chance in zip(x[:50], model.score(x[:50]), strict=True):  # each tree walked plainly
+        total = model.start
+        for at in model.roots:
+            while model.left[at] != at:
+                at = model.left[at] if row[model.feature[at]] <= model.threshold[at] else model.right[at]
+            total += model.value[at]
+        assert chance == pytest.approx(1 / (1 + np.exp(-total)))
     grid = np.linspace(0, 1, 60)
     for _ in range(20):
         line = np.tile(rng.uniform(size=3), (60, 1))
@@ -421,6 +477,19 @@ def test_revisits_against_a_scan(spark):
     assert revisit.resolve(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("late", [10**12, 50])
+def test_spans_hold_equal_shares(spark, late):
+    """One far-off time, or a burst at one time, leaves the spans about equal."""
+    rows = [(i, 50 if i % 3 else i % 100) for i in range(3000)] + [(3000, late), (None, 7)]
+    keyed = [(-1 if t is None else t, -(2**63) if i is None else i) for i, t in rows]
+    cuts = sorted({sorted(keyed)[len(keyed) * k // 16] for k in range(1, 16)})
+    df = spark.createDataFrame([(t, i) for t, i in keyed], "ts long, record_id long").select("*", revisit._span(cuts, F.col("ts"), F.col("record_id")).alias("span"))
+    got = df.collect()
+    assert all(r.span == sum(c <= (r.ts, r.record_id) for c in cuts) for r in got)
+    assert max(Counter(r.span for r in got).values()) < 2 * len(rows) / 16
+    assert df.sparkSession.range(3).select(revisit._span([], F.col("id"), F.col("id"))).distinct().count() == 1
+
+
 def test_revisits_keep_null_and_repeated_ids(spark):
     pages = spark.createDataFrame([(None, "http://a.example.com/", "x"), (None, "http://b.example.com/", "y"), (4, "http://c.example.com/", "p"), (4, "http://d.example.com/", "q"), (4, "http://d.example.com/", "q")], "page_id long, url string, html string")
     records = revisit.captures(pages)
@@ -456,6 +525,19 @@ def test_shards_hold_equal_runs(docs, no_docs, texts):
     assert Counter(r.shard for r in hilbert.shards(docs.select("doc_id", "text").limit(3)).collect()).total() == 3
 
 
+def test_a_filter_reads_few_shards(spark):
+    rng = random.Random(15)
+    rows = [(i, "x" * int(2 ** rng.uniform(3, 14)), rng.choice(["en", "de", "fr", "es", "ja"]), f"s{rng.randrange(8)}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    placed = hilbert.shards(df, n=24).persist()
+    held = hilbert.manifest(placed).persist()
+    where = {r.doc_id: r.shard for r in placed.collect()}
+    assert held.agg(F.sum("rows"), F.count("*")).first() == (4000, 24)
+    for categories, sizes, match in (({0: "ja"}, None, lambda r: r[2] == "ja"), ({1: "s3"}, None, lambda r: r[3] == "s3"), (None, (2000, 4000), lambda r: 2000 <= len(r[1]) + 8 <= 4000), ({0: "ja", 1: "s3"}, (2000, 4000), lambda r: r[2] == "ja" and r[3] == "s3" and 2000 <= len(r[1]) + 8 <= 4000)):
+        read = {r.shard for r in hilbert.shards_for(held, categories, sizes).collect()}
+        assert {where[r[0]] for r in rows if match(r)} <= read and len(read) <= 12, (categories, sizes, len(read))
+
+
 # Token files
 
 
@@ -547,6 +629,15 @@ def test_ordinal_fit_orders_grades():
     assert [severity[grades[2000:] == g].mean() for g in range(3)] == sorted(severity[grades[2000:] == g].mean() for g in range(3))
 
 
+@functools.cache
+def _texts_of(df):
+    return {r.doc_id: r.text for r in df.collect()}
+
+
+def text_of(df, doc_id):
+    return _texts_of(df)[doc_id]
+
+
 def test_toxicity_held_out(spark, docs, no_docs):
     rng = random.Random(4)
     words = [f"{a}{b}{c}" for a in ("bal", "cor", "dim", "fen") for b in "aeiou" for c in ("do", "ra", "mi", "so")]
@@ -561,6 +652,13 @@ def test_toxicity_held_out(spark, docs, no_docs):
     df = spark.createDataFrame([(i, text(i in bad)) for i in range(600)], "doc_id long, text string")
     model = toxicity.train(df.where("doc_id < 400"), labels_for(spark, 400, bad), sample_rows=400)
     held = df.where("doc_id >= 400")
+    import math
+    import re
+
+    for r in toxicity.grade(held, model).collect():  # every severity recomputed plainly
+        hits = Counter(f for w in re.findall(r"[^\W\d_][^\W\d_']*", text_of(df, r.doc_id).lower()) for f in [f"w:{w}", *(f"p{n}:{w[:n]}" for n in range(4, 9) if len(w) > n)] if f in model.vocabulary)
+        z = sum(model.weights[model.vocabulary[f]] * math.log1p(n) for f, n in hits.items())
+        assert r.severity == pytest.approx(sum(1 / (1 + math.exp(c - z)) for c in model.cuts)) and r.toxic == (r.severity >= model.reject)
     assert {r.doc_id for r in toxicity.grade(held, model).where("toxic").collect()} == {i for i in bad if i >= 400}
     assert {r.doc_id for r in toxicity.clean(held, model).collect()} == {i for i in range(400, 600) if i not in bad}
     found = toxicity.grade(docs, model)
