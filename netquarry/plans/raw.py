@@ -15,7 +15,7 @@ from ..operators import alerting, flows, lookups, windows
 from ..operators.flows import Limits
 from ..sources import wire
 from . import catalog, views
-from .catalog import CHARS, FLOW, VECTOR, _entropy_sql, query, rounded
+from .catalog import CHARS, FLOW, VECTOR, _entropy_sql, query
 from .views import DAY, LIMITS
 
 #: By class: what adds raw_score to its rows, a fitted detector's ``score`` or a rule.
@@ -23,10 +23,10 @@ Detectors = dict[str, Callable[[DataFrame], DataFrame]]
 
 
 def _rule(score: Callable[[], Column]) -> Callable[[DataFrame], DataFrame]:
-    return lambda rows: rows.withColumn("raw_score", F.round(F.least(F.lit(1.0), score()), 6))
+    return lambda rows: rows.withColumn("raw_score", alerting.six_digits(F.least(F.lit(1.0), score())))
 
 
-_six = lambda name: F.round(name, 6)
+_six = lambda name: alerting.six_digits(F.col(name))
 
 #: Scores by rule, in place of detectors that have not been fitted.
 RULES: Detectors = {
@@ -87,7 +87,6 @@ def results(parsed: DataFrame, intel: DataFrame, detectors: Detectors, limits: L
 def frames(spark, d) -> DataFrame:
     """event_id, us, raw: bare IPv4 packets of the derived fields, with a DNS message in UDP packets of port 53 and a ClientHello in TCP packets to port 443."""
     h = catalog._hex
-    ip = lambda c: F.array_join(F.transform(F.split(c, r"\."), lambda x: h(x, 2)), "")
     p = views.packets(spark, d)
     messages = views.dns(spark, d).join(views.packets(spark, d).select("event_id", "k"), "event_id").select("event_id", catalog.dns_hex().alias("message"))
     greetings = views.hellos(spark, d).select(F.col("k").alias("hello"), catalog.hello_hex().alias("greeting"))
@@ -101,7 +100,7 @@ def frames(spark, d) -> DataFrame:
         F.when(F.col("protocol") == "TCP", F.concat(ports, F.lit("00" * 8 + "50"), F.when(F.col("syn"), "02").otherwise("10"), F.lit("00" * 6), tcp))
         .when(F.col("protocol") == "UDP", F.concat(ports, h(F.length(udp) / 2 + 8, 4), F.lit("0000"), udp)).otherwise(F.lit("00" * 20))
     )
-    whole = F.concat(F.lit("4500"), h(F.length(body) / 2 + 20, 4), F.lit("0000000040"), number, F.lit("0000"), ip(F.col("src_ip")), ip(F.col("dst_ip")), body)
+    whole = F.concat(F.lit("4500"), h(F.length(body) / 2 + 20, 4), F.lit("0000000040"), number, F.lit("0000"), views.wire_address(F.col("src_ip")), views.wire_address(F.col("dst_ip")), body)
     return p.select("event_id", "us", F.unhex(whole).alias("raw"))
 
 
@@ -129,9 +128,10 @@ SELECT ip AS source_ip, win, CASE WHEN count(DISTINCT CASE WHEN severity = 'HIGH
 
 
 def parsed(spark, d) -> DataFrame:
-    """The frames, parsed once and stored for all lanes."""
+    """The frames, parsed once and stored for all lanes; hosts under their names in the sample tables."""
     ship(spark)
     rows = frames(spark, d).withColumn("p", wire.parse_packet(F.col("raw"))).where("p IS NOT NULL").select("event_id", "us", "p.*")
+    rows = rows.withColumns({c: views.host_name(F.col(c)) for c in ("src_ip", "dst_ip")})
     path = scratch_path(spark, "parsed")
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
@@ -155,4 +155,4 @@ def raw_to_alerts(spark, d):
     """From bytes to alerts, with a rule in the place of each detector."""
     made = alerts_of(spark, d, RULES)
     classes = F.array_join(F.array_sort(F.transform("detections", lambda x: x["threat_class"])), ",")
-    return rounded(made.select("source_ip", F.col("observed_us").alias("win"), "overall_severity", "overall_score", "threats_detected_count", classes.alias("classes")), "overall_score")
+    return made.select("source_ip", F.col("observed_us").alias("win"), "overall_severity", alerting.six_digits(F.col("overall_score")).alias("overall_score"), "threats_detected_count", classes.alias("classes"))
