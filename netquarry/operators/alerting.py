@@ -103,7 +103,7 @@ def as_cef(made: DataFrame) -> DataFrame:
     escaped = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\\", r"\\\\"), "=", r"\\=")
     classes = F.array_join(F.transform("detections", lambda d: d["threat_class"]), ",")
     head = F.concat_ws("|", F.lit("CEF:0"), F.lit("netquarry"), F.lit("netquarry"), F.lit("1"), classes, F.lit("network threat"), (rank(F.col("overall_severity")) * 2 + 2).cast("string"))
-    tail = F.concat(F.lit("|src="), escaped(F.col("source_ip")), F.lit(" dst="), escaped(F.col("destination_ip")), F.lit(" externalId="), F.col("alert_id"), F.lit(" cs1="), F.format_number("overall_score", 6))
+    tail = F.concat(F.lit("|src="), escaped(F.col("source_ip")), F.lit(" dst="), escaped(F.col("destination_ip")), F.lit(" externalId="), F.col("alert_id"), F.lit(" cs1="), F.format_number(six_digits(F.col("overall_score")), 6))
     return made.select("alert_id", F.concat(head, tail).alias("line"))
 
 
