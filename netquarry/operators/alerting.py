@@ -94,7 +94,7 @@ def alerts(results: DataFrame, thresholds: DataFrame, group: str = "group_id", m
 
 def as_json(made: DataFrame) -> DataFrame:
     """An object for each alert; its fused score has six digits, as the order of a product's factors decides the last ones."""
-    shown = made.withColumn("overall_score", F.round("overall_score", 6))
+    shown = made.withColumn("overall_score", six_digits(F.col("overall_score")))
     return shown.select("alert_id", F.to_json(F.struct(*made.columns)).alias("json"))
 
 
