@@ -85,12 +85,15 @@ def results(parsed: DataFrame, intel: DataFrame, detectors: Detectors, limits: L
 
 
 def frames(spark, d) -> DataFrame:
-    """event_id, us, raw: bare IPv4 packets of the derived fields, with a DNS message in UDP packets of port 53 and a ClientHello in TCP packets to port 443."""
+    """event_id, us, raw: bare IPv4 packets of the derived fields, with a DNS message in UDP packets of port 53 and a ClientHello in TCP packets to port 443.
+
+    Packets take their greetings from hellos 1 to 150 in turn (from -148 where an event's number is negative), so no others are made for them. The
+    planner would take all hellos for a few bytes each, and bring a table of any size through the driver."""
     h = catalog._hex
     p = views.packets(spark, d)
     messages = views.dns(spark, d).join(views.packets(spark, d).select("event_id", "k"), "event_id").select("event_id", catalog.dns_hex().alias("message"))
-    greetings = views.hellos(spark, d).select(F.col("k").alias("hello"), catalog.hello_hex().alias("greeting"))
-    p = p.join(messages, "event_id").join(greetings, (F.col("event_id") % 150 + 1) == F.col("hello"), "left")
+    greetings = views.hellos(spark, d).where(F.col("k").between(-148, 150)).select(F.col("k").alias("hello"), catalog.hello_hex().alias("greeting"))
+    p = p.join(messages, "event_id").join(F.broadcast(greetings), (F.col("event_id") % 150 + 1) == F.col("hello"), "left")
     is_dns = (F.col("protocol") == "UDP") & ((F.col("dst_port") == 53) | (F.col("src_port") == 53))
     udp = F.when(is_dns, F.col("message")).otherwise("")
     tcp = F.when(F.col("dst_port") == 443, F.coalesce("greeting", F.lit(""))).otherwise("")
